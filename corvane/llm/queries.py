@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import sql
+from .byte_bpe import Codec, byte_bpe
+from .cap_filters import cap_join
 from .common import table
+from .licenses import license_scan
+from .media_columns import media_columns
+from .mixing import mix
 from .ngram_join import ngram_join
+from .pii import digest, find_pii
+from .sharding import shard
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +26,65 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return digest(find_pii(table(spark, sf_dir, "documents")))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and blocks in all documents."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of all embeddings."""
+    return cap_join(table(spark, sf_dir, "embeddings"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def token_digests(codec: Codec, ids: list[int]) -> dict:
+    """Digests of a document's ids and of the bytes decoded from them."""
+    return {
+        "n_tokens": len(ids),
+        "ids_sha256": hashlib.sha256(" ".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest(),
+        "decoded_sha256": hashlib.sha256(codec.decode(ids)).hexdigest(),
+    }
+
+
+DIGESTS = ("n_tokens long, ids_sha256 string, decoded_sha256 string", [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents."""
+    return byte_bpe(table(spark, sf_dir, "documents"), finish=token_digests, returns=DIGESTS)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from every document."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts stored as images, and features of what is read back."""
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_pii": op2_pii,
+        "op3_license_scan": op3_license_scan,
+        "op4_cap_filters": op4_cap_filters,
+        "op5_sharding": op5_sharding,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_mixing": op7_mixing,
+        "op9_media_columns": op9_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.ORACLES
