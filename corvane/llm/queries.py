@@ -18,7 +18,9 @@ from .media_columns import media_columns
 from .mixing import mix
 from .ngram_join import ngram_join
 from .pii import digest, find_pii
+from .quality import quality
 from .sharding import shard
+from .toxicity import toxicity
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +70,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all documents, from a model of the labelled ones."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts stored as images, and features of what is read back."""
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, from heuristic labellers of all documents."""
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -82,7 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": op5_sharding,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mixing": op7_mixing,
+        "op8_toxicity": op8_toxicity,
         "op9_media_columns": op9_media_columns,
+        "op10_quality": op10_quality,
     }
 
 
