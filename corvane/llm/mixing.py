@@ -107,13 +107,12 @@ def mixed_texts(docs: DataFrame, columns: list[str], **settings) -> DataFrame:
     them. ``columns`` are those of ``docs``, in their order; ``n_chars`` is
     counted anew if it is one of them. A document without words is never taken.
     """
-    rest = tuple(c for c in columns if c not in ("doc_id", "source"))
-    taken = mix(docs, carry=rest, **settings).where("taken > 0")
+    rows = docs.select("doc_id", "source", "text", F.struct(*columns).alias("row"))
+    taken = mix(rows, carry=("text", "row"), **settings).where("taken > 0")
     copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size"))
     parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     text = F.when(left < F.col("size"), F.array_join(F.slice(parts, 1, left.cast("int")), "")).otherwise(F.col("text"))
     out = copies.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in columns])

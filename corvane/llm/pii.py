@@ -222,7 +222,7 @@ def find_pii(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     results; an empty table gives an empty result.
     """
     tune(docs.sparkSession)
-    scanned = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), candidates(whole_text()).alias("found"), *[F.col(c).alias(f"_{c}") for c in carry]), "candidates")
+    scanned = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), candidates(whole_text()).alias("found"), *[F.col(c).alias(f"carried_{c}") for c in carry]), "candidates")
     counts = scanned.select(F.explode("found").alias("s")).groupBy("s.kind", *[f"s.votes.{l}" for l in LABELERS]).count()  # noqa: E741
     model = Model.fit(sorted((r[0], tuple(r[1:-1]), r[-1]) for r in counts.collect()))  # a row a vote pattern
     scored = F.transform(
@@ -230,7 +230,7 @@ def find_pii(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         lambda s: F.struct(s["order"].alias("order"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["order"] < len(BASE)).alias("base"), (1 / (1 + F.exp(-model.score(s)))).alias("probability")),
     )
     kept = F.filter(scored, lambda s: s["base"] | (s["probability"] >= 0.5))
-    return scanned.select("doc_id", kept.alias("spans"), *[F.col(f"_{c}").alias(c) for c in carry])
+    return scanned.select("doc_id", kept.alias("spans"), *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 
 def digest(found: DataFrame) -> DataFrame:
