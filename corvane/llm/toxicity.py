@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ FEATURES, EVIDENCE, SEEN = 1_000, 40.0, 6
 #: Shares of telling words from which a toxic text is of grade 2 and of grade 3.
 CUTS = (0.01, 0.03)
 GRADES = 4
+#: Words of which one with a feature makes it as dense as counts.
+FULL = 100
 #: Features counted in a worker's memory before they are passed on.
 HELD = 300_000
 
@@ -60,6 +63,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def values(found: dict[int, int], words: int, features: int) -> dict[int, float]:
+    """Two values of each feature that a text has: how often, up to ten times, and
+    how densely, up to one word in FULL."""
+    out = {i: 1 + math.log(min(10, c)) for i, c in found.items()}
+    out |= {features + i: min(1.0, FULL * c / words) for i, c in found.items()}
+    return out
+
+
 @dataclass
 class Severity:
     """Features with shared weights, and ordered thresholds between the grades."""
@@ -73,26 +84,27 @@ class Severity:
         self.short = {f for f in self.number if len(f) < 3}
         self.lengths = sorted({len(f) - 1 for f in self.number if f.endswith("*")})
 
-    def found(self, text: str) -> dict[int, int]:
-        """How many words have each feature."""
+    def found(self, text: str) -> tuple[dict[int, int], int]:
+        """How many words have each feature, and how many there are."""
         out: dict[int, int] = {}
-        for word, count in tokens(text).items():
+        words = tokens(text)
+        for word, count in words.items():
             if word[:3] not in self.starts and word not in self.short:
                 continue
             for feature in (word, *[word[:n] + "*" for n in self.lengths if n <= len(word)]):
                 i = self.number.get(feature)
                 if i is not None:
                     out[i] = out.get(i, 0) + count
-        return out
+        return out, sum(words.values())
 
-    def shares(self, found: list[dict[int, int]]) -> np.ndarray:
+    def shares(self, found: list[tuple[dict[int, int], int]]) -> np.ndarray:
         """P(grade) for each text: differences of the cumulative links."""
-        pull = np.array([sum(self.weights[i] * (1 + np.log(c)) for i, c in f.items()) for f in found])
+        pull = np.array([sum(self.weights[i] * x for i, x in values(f, n, len(self.number)).items()) for f, n in found])
         below = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - pull[:, None], -60, 60)))
         return np.diff(np.hstack([np.zeros((len(found), 1)), below, np.ones((len(found), 1))]), axis=1)
 
 
-def fit_links(x: np.ndarray, grades: np.ndarray, steps: int = 400, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_links(x: np.ndarray, grades: np.ndarray, steps: int = 400, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of largest likelihood. The first threshold is free
     and the gaps above it are exponentials, so they stay ordered."""
     last = int(GRADES - 1)
@@ -108,7 +120,8 @@ def fit_links(x: np.ndarray, grades: np.ndarray, steps: int = 400, decay: float
         full = np.hstack([np.zeros((n, 1)), s, np.ones((n, 1))])
         likely = np.maximum(full[rows, grades + 1] - full[rows, grades], 1e-12)
         slope = np.hstack([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))])
-        high, low = slope[rows, grades + 1] / likely, slope[rows, grades] / likely
+        # a row far on the wrong side must not drown the others
+        high, low = np.minimum(slope[rows, grades + 1] / likely, 25), np.minimum(slope[rows, grades] / likely, 25)
         by_cut = np.zeros(last + 2)
         np.add.at(by_cut, grades + 1, high)
         np.add.at(by_cut, grades, -low)
@@ -120,6 +133,18 @@ def fit_links(x: np.ndarray, grades: np.ndarray, steps: int = 400, decay: float
     return p[:width], p[width] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
+def distinct(telling: list) -> list:
+    """Without features that say the same as another one: of a word and its
+    beginnings, or of nested beginnings, that nearly the same documents have,
+    the longest of the most telling ones stays."""
+    out = []
+    for r in sorted(telling, key=lambda r: (-round(r["odd"], 1), -len(r["feature"]), r["feature"][-1] == "*")):
+        stem, both = r["feature"].rstrip("*"), r["t"] + r["c"]
+        if not any((stem.startswith(k) or k.startswith(stem)) and abs(both - n) <= 0.05 * max(both, n) for k, n in ((o["feature"].rstrip("*"), o["t"] + o["c"]) for o in out)):
+            out.append(r)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
     """Fit on at most ``sample`` labelled documents.
 
@@ -142,23 +167,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
     n, seen = float(toxic + clean), F.col("t") + F.col("c")
     odd = (F.col("t") * float(clean) - F.col("c") * float(toxic)) ** 2 * n / (float(toxic) * float(clean) * seen * (n - seen + 1))
     telling = counted.where(seen >= SEEN).withColumn("odd", odd).where(F.col("odd") >= EVIDENCE).orderBy(F.desc("odd"), "feature").limit(FEATURES).collect()
+    telling = distinct(telling)
     number = {r["feature"]: i for i, r in enumerate(telling)}
     strong = {i for i, r in enumerate(telling) if r["t"] * clean > 4 * r["c"] * toxic}
-    empty = Severity(number, np.zeros(len(number)), np.array([1.0, 2.0, 3.0]))
+    empty = Severity(number, np.zeros(2 * len(number)), np.array([1.0, 2.0, 3.0]))
     schema = pa.schema([("toxic", pa.int64()), ("words", pa.int64()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             found = [empty.found(t) for t in texts]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0).to_pylist(), "words": [len(WORD.findall(t)) for t in texts], "at": [list(f) for f in found], "times": [list(f.values()) for f in found]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0).to_pylist(), "words": [n for _, n in found], "at": [list(f) for f, _ in found], "times": [list(f.values()) for f, _ in found]}, schema=schema)
 
     rows = texts.select("toxic", "text").mapInArrow(seen_in, "toxic long, words long, at array<int>, times array<int>").collect()  # at most the sample
     rows.sort(key=lambda r: (r["toxic"], r["words"], r["at"], r["times"]))
-    x = np.zeros((len(rows), len(number)), dtype=np.float32)
+    x = np.zeros((len(rows), 2 * len(number)), dtype=np.float32)
     grades = np.zeros(len(rows), dtype=np.int64)
     for k, r in enumerate(rows):
-        x[k, r["at"]] = 1 + np.log(np.array(r["times"], dtype=np.float32)) if r["at"] else 0
+        for i, value in values(dict(zip(r["at"], r["times"])), r["words"], len(number)).items():
+            x[k, i] = value
         if r["toxic"]:
             share = max([t for i, t in zip(r["at"], r["times"]) if i in strong], default=0) / max(1, r["words"])
             grades[k] = 1 + sum(share >= cut for cut in CUTS)
