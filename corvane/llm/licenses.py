@@ -27,6 +27,7 @@ TEMPLATES = [
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by", "licensed under cc by 4 0"),
+    ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),

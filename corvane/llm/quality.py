@@ -49,6 +49,8 @@ class Look:
     lines: float  # share of lines that occurred before
     function: float  # share of function words
     stops: float  # share of words that end a phrase
+    variety: float  # distinct words for each word
+    squeeze: float  # compressed bytes for each byte
     n_lines: int
     shapes: Counter
 
@@ -65,6 +67,11 @@ def shape(token: str) -> str:
     return s
 
 
+def _squeeze(text: str) -> float:
+    data = text.encode("utf-8", "replace")
+    return len(zlib.compress(data, 1)) / max(1, len(data))
+
+
 def look(text: str) -> Look:
     tokens = text.split()
     n = max(1, len(tokens))
@@ -83,19 +90,22 @@ def look(text: str) -> Look:
     return Look(
         len(tokens), odd / n, upper / max(1, letters), text.count("|") / n, sum(a == b for a, b in zip(tokens, tokens[1:])) / n,
         max(counts.values(), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)),
-        sum(k for t, k in counts.items() if t.lower() in FUNCTION_WORDS) / n, sum(k for t, k in counts.items() if t[-1] in ".,;:?!") / n, len(lines), shapes,
+        sum(k for t, k in counts.items() if t.lower() in FUNCTION_WORDS) / n, sum(k for t, k in counts.items() if t[-1] in ".,;:?!") / n,
+        len(counts) / n, _squeeze(text), len(lines), shapes,
     )
 
 
 #: The heuristic labellers; each says 1 (good), 0 (bad) or -1 (does not apply).
 #: Most look for one symptom, so that their good votes alone say little.
 LABELLERS = {
-    "symbols": lambda x: 0 if x.symbols > 0.12 else 1,
+    "symbols": lambda x: 0 if x.symbols > 0.12 and x.symbols * x.words >= 5 else 1,
     "upper": lambda x: (0 if x.upper > 0.25 else 1) if x.words >= 5 else -1,
     "pipes": lambda x: 0 if x.pipes > 0.08 else 1,
-    "repeats": lambda x: (0 if x.repeats > 0.12 else 1) if x.words >= 8 else -1,
+    "repeats": lambda x: (0 if x.repeats > 0.12 else 1) if x.words >= 15 else -1,
     "top": lambda x: (0 if x.top > 0.3 else 1) if x.words >= 20 else -1,
     "lines": lambda x: (0 if x.lines > 0.4 else 1) if x.n_lines >= 4 else -1,
+    "variety": lambda x: (0 if x.variety < 3 * math.sqrt(x.words) / x.words else 1) if x.words >= 30 else -1,
+    "squeeze": lambda x: (0 if x.squeeze < 0.2 else 1) if x.words >= 30 else -1,
     "function": lambda x: (0 if x.function < 0.02 else 1) if x.words >= 20 else -1,
     "stops": lambda x: (0 if x.stops == 0 else 1) if x.words >= 40 else -1,
 }
@@ -112,7 +122,7 @@ def hashed(x: Look) -> tuple[list[int], list[float]]:
     for s, k in x.shapes.items():
         place = zlib.crc32(b"s" + s.encode()) % PLACES
         values[place] = values.get(place, 0.0) + math.sqrt(k / total)
-    for name in ("symbols", "upper", "pipes", "repeats", "top", "lines", "function", "stops"):
+    for name in ("symbols", "upper", "pipes", "repeats", "top", "lines", "function", "stops", "squeeze"):
         step = int(min(9, getattr(x, name) * 20))
         place = zlib.crc32(f"r{name}{step}{x.words < 20}".encode()) % PLACES
         values[place] = values.get(place, 0.0) + 0.5
@@ -210,7 +220,7 @@ def _texts(docs: DataFrame, *more) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
     """The label model on the votes on every document, the scorer on at most
     ``sample`` of them. Votes are counted by pattern in each task, so what
-    reaches the driver is at most 3^8 patterns, and the sample's features."""
+    reaches the driver is at most 3^10 patterns, and the sample's features."""
     tune(docs.sparkSession)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
