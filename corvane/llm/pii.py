@@ -64,7 +64,7 @@ def _luhn(digits: Column) -> Column:
     """Whether the checksum of payment cards holds."""
     doubled = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))),
-        lambda i: F.expr("0") + (F.substring(F.reverse(digits), i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)),
+        lambda i: F.coalesce(F.substring(F.reverse(digits), i, F.lit(1)).try_cast("int"), F.lit(0)) * F.when(i % 2 == 0, 2).otherwise(1),
     )
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
 
@@ -72,7 +72,8 @@ def _luhn(digits: Column) -> Column:
 def valid(kind: str, text: Column) -> Column:
     """What a match of a base kind must also meet."""
     if kind == "ip":
-        return F.forall(F.split(text, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")).between(0, 3) & (F.coalesce(F.expr("0") + F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).try_cast("int"), F.lit(0)) <= 255))
+        plain = F.transform(F.split(text, r"\."), lambda p: F.regexp_replace(p, "^0+", ""))
+        return F.forall(plain, lambda p: (F.length(p) <= 3) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255))
     digits = _digits(text)
     if kind == "card":
         return F.length(digits).between(16, 19) & _luhn(digits)
@@ -129,15 +130,19 @@ def candidates(text: Column) -> Column:
     parts = []
     for order, (kind, pattern) in enumerate((BASE | ADDED).items()):
         gate = F.contains(text, F.lit(SIGNS[kind])) if kind in SIGNS else F.regexp_like(text, F.lit(pattern))
-        spans = matches(text, pattern, gate)
-        if kind in BASE:
-            spans = F.filter(spans, lambda s, k=kind: valid(k, s["match"]))
-        parts.append(
-            F.transform(spans, lambda s, k=kind, o=order: F.struct(F.lit(o).alias("order"), F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _votes(k, s, text).alias("votes")))
-        )
+        parts.append(_candidates(order, kind, matches(text, pattern, gate), text))
     return F.concat(*parts)
 
 
+def _candidates(order: int, kind: str, spans: Column, text: Column) -> Column:
+    if kind in BASE:
+        spans = F.filter(spans, lambda s: valid(kind, s["match"]))
+    return F.transform(
+        spans,
+        lambda s: F.struct(F.lit(order).alias("order"), F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _votes(kind, s, text).alias("votes")),
+    )
+
+
 @dataclass
 class Model:
     """Labeler reliabilities by expectation-maximisation, and a span classifier."""
@@ -212,7 +217,8 @@ def find_pii(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     start; and the columns named in ``carry``.
 
     Spans of the base kinds follow from their patterns and stay. The other kinds'
-    candidates are kept where the span classifier finds them likelier than not.
+    candidates are kept where the span classifier finds them likelier than not and
+    no base span overlaps them.
     Five labelers (strict pattern, gazetteer, context words, isolation, variety
     of symbols) vote on every candidate of all kinds in the whole table; the
     counts of vote patterns, at most a couple of thousand, fit the model.
@@ -229,8 +235,9 @@ def find_pii(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         "found",
         lambda s: F.struct(s["order"].alias("order"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["order"] < len(BASE)).alias("base"), (1 / (1 + F.exp(-model.score(s)))).alias("probability")),
     )
-    kept = F.filter(scored, lambda s: s["base"] | (s["probability"] >= 0.5))
-    return scanned.select("doc_id", kept.alias("spans"), *[F.col(f"carried_{c}").alias(c) for c in carry])
+    sure = F.filter("scored", lambda s: s["base"])
+    kept = F.filter("scored", lambda s: s["base"] | ((s["probability"] >= 0.5) & ~F.exists("sure", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    return scanned.withColumn("scored", scored).withColumn("sure", sure).select("doc_id", kept.alias("spans"), *[F.col(f"carried_{c}").alias(c) for c in carry])
 
 
 def digest(found: DataFrame) -> DataFrame:
