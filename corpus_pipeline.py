@@ -17,7 +17,15 @@ from corvane.llm.pii import find_pii, masked
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on them, does not reject."""
     tune(spark)
-    return q.keep_good(docs, q.fit(docs))
+    return q.keep_good(docs, q.fit(q.seen(docs)))
+
+
+def _free(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    name = "_new"
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,22 +33,25 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows with a null id all stay. Of rows that repeat an id, one stays.
     """
-    told = stash(ngram_join(docs), "told")
-    left = docs.join(told.where(~F.col("kept")).select(F.col("doc_id").alias("of")).distinct(), F.col("doc_id") == F.col("of"), "left_anti")
-    repeated = stash(told.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("of")).count().where("count > 1").select("of"), "repeated")
+    told, of = stash(ngram_join(docs), "told"), _free(docs)
+    same = F.col("doc_id") == F.col(of)
+    left = docs.join(told.where(~F.col("kept")).select(F.col("doc_id").alias(of)).distinct(), same, "left_anti")
+    repeated = stash(told.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(of)).count().where("count > 1").select(of), "repeated")
     if repeated.isEmpty():
         return left
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(whole_text()))
-    again = left.join(repeated, F.col("doc_id") == F.col("of"), "left_semi").withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
-    return left.join(repeated, F.col("doc_id") == F.col("of"), "left_anti").unionByName(again)
+    again = left.join(repeated, same, "left_semi").withColumn(of, F.row_number().over(first)).where(F.col(of) == 1).drop(of)
+    return left.join(repeated, same, "left_anti").unionByName(again)
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every span of personal data replaced by its kind."""
-    found = find_pii(docs.withColumn("_row", F.struct(*docs.columns)), carry=("_row",))
-    row, some = F.col("_row"), F.size("spans") > 0
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    found, row, some = find_pii(rows, carry=("row",)), F.col("row"), F.size("spans") > 0
     masks = found.withColumn("masked", F.when(some, masked(row["text"], F.col("spans"))).otherwise(row["text"]))
-    new = {"text": F.col("masked"), "n_chars": F.when(some, F.length("masked").cast("long")).otherwise(row["n_chars"]) if "n_chars" in docs.columns else None}
+    new = {"text": F.col("masked")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(some, F.length("masked").cast("long")).otherwise(row["n_chars"])
     return masks.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
