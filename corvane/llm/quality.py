@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,8 +19,6 @@ from .common import stash, tune
 SAMPLE = 12_000
 #: Places that features are hashed to.
 PLACES = 1 << 14
-#: Shapes that a worker remembers.
-CACHE = 500_000
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
     "a an and are as at be by for from in is it of on or that the this to was with "
@@ -32,8 +29,17 @@ FUNCTION_WORDS = frozenset(
 #: Bounds of the labellers' rates: faults found in good texts at most, in bad ones at least.
 ALARM, MISS = 0.005, 0.05
 PLAIN = frozenset(".,;:'\"()-?")
-_shapes: dict[str, str] = {}
-_collapse = re.compile(r"(.)\1+")
+#: Codes of characters: X upper case, x other letters, 9 digits, a blank, ASCII
+#: marks themselves, and ~ for every other mark. Beyond the table all letters are x.
+TABLE = 0x3000
+
+
+def _code(c: str) -> int:
+    return ord("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else " " if c.isspace() else c if c < "\x7f" else "~")
+
+
+CODES = np.array([_code(chr(i)) for i in range(TABLE)], dtype=np.uint8)
+ODD = np.array([not chr(i).isalnum() and chr(i) != " " and chr(i) not in PLAIN for i in range(256)])
 
 
 @dataclass
@@ -55,18 +61,6 @@ class Look:
     shapes: Counter
 
 
-def shape(token: str) -> str:
-    """A token's classes of characters, runs collapsed: X upper, x other letters, 9 digits."""
-    global _shapes
-    s = _shapes.get(token)
-    if s is None:
-        s = _collapse.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[:64]))[:12]
-        if len(_shapes) >= CACHE:
-            _shapes = {}
-        _shapes[token] = s
-    return s
-
-
 def _squeeze(text: str) -> float:
     data = text.encode("utf-8", "replace")
     return len(zlib.compress(data, 1)) / max(1, len(data))
@@ -77,16 +71,13 @@ def look(text: str) -> Look:
     n = max(1, len(tokens))
     counts = Counter(tokens)
     lines = [x for x in text.split("\n") if x.strip()]
-    letters = upper = odd = 0
-    for c, k in Counter(text).items():
-        if c.isalpha():
-            letters += k
-            upper += k * c.isupper()
-        elif not (c.isdigit() or c.isspace() or c in PLAIN):
-            odd += k
-    shapes: Counter = Counter()
-    for token, k in counts.items():
-        shapes[shape(token)] += k
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    codes = np.where(points < TABLE, CODES[np.minimum(points, TABLE - 1)], ord("x")).astype(np.uint8)
+    each = np.bincount(codes, minlength=256)
+    upper, letters, odd = int(each[ord("X")]), int(each[ord("X")] + each[ord("x")]), int(each[ODD].sum())
+    # runs of a code collapse; what is left between blanks are the tokens' shapes
+    runs = codes[np.flatnonzero(np.diff(codes, prepend=0))].tobytes()
+    shapes = Counter(s[:12] for s in runs.split(b" ") if s)
     return Look(
         len(tokens), odd / n, upper / max(1, letters), text.count("|") / n, sum(a == b for a, b in zip(tokens, tokens[1:])) / n,
         max(counts.values(), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)),
@@ -120,7 +111,7 @@ def hashed(x: Look) -> tuple[list[int], list[float]]:
     total = max(1, x.words)
     values: dict[int, float] = {}
     for s, k in x.shapes.items():
-        place = zlib.crc32(b"s" + s.encode()) % PLACES
+        place = zlib.crc32(b"s" + s) % PLACES
         values[place] = values.get(place, 0.0) + math.sqrt(k / total)
     for name in ("symbols", "upper", "pipes", "repeats", "top", "lines", "function", "stops", "squeeze"):
         step = int(min(9, getattr(x, name) * 20))
@@ -209,71 +200,61 @@ class Scorer:
 
     def good(self, x: Look) -> float:
         """P(good) by the hashed linear scorer."""
-        at, values = hashed(x)
+        return self.of(*hashed(x))
+
+    def of(self, at: list[int], values: list[float]) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + float(self.weights[at] @ np.array(values))))))
 
 
-def _texts(docs: DataFrame, *more) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+SEEN = "doc_id long, order long, pattern binary, at array<int>, x array<double>"
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """The label model on the votes on every document, the scorer on at most
-    ``sample`` of them. Votes are counted by pattern in each task, so what
-    reaches the driver is at most 3^10 patterns, and the sample's features."""
+def seen(docs: DataFrame) -> DataFrame:
+    """What the labellers say of every text (a byte each: 0 nothing, 1 bad, 2 good) and
+    its hashed features, written to the shared folder: texts are read once."""
     tune(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("order", pa.int64()), ("pattern", pa.binary()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts.update(bytes(v + 1 for v in votes(look((t or b"").decode("utf-8", "replace")))) for t in batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_pydict({"pattern": list(counts), "n": list(counts.values())}, schema=pa.schema([("pattern", pa.binary()), ("n", pa.int64())]))
+            looks = [look((t or b"").decode("utf-8", "replace")) for t in batch.column(2).to_pylist()]
+            pairs = [hashed(x) for x in looks]
+            out = [batch.column(0), batch.column(1), pa.array([bytes(v + 1 for v in votes(x)) for x in looks], pa.binary()), pa.array([p[0] for p in pairs], schema.field(3).type), pa.array([p[1] for p in pairs], schema.field(4).type)]
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
 
-    counted = _texts(docs).mapInArrow(vote, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    labels = LabelModel.fit(sorted((tuple(b - 1 for b in bytes(r["pattern"])), r["n"]) for r in counted))
-    schema = pa.schema([("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64())), ("good", pa.float64())])
+    # rows without an id are ordered by their text
+    order = F.xxhash64(F.lit(10), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("order"), F.col("text").cast("binary").alias("text"))
+    return stash(rows.mapInArrow(run, SEEN), "seen")
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [look((t or b"").decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-            pairs = [hashed(x) for x in seen]
-            yield pa.RecordBatch.from_pydict({"at": [p[0] for p in pairs], "x": [p[1] for p in pairs], "good": [labels.posterior(tuple(votes(x))) for x in seen]}, schema=schema)
-
-    order = F.xxhash64(F.lit(10), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    first = stash(docs.select(order.alias("order")).orderBy("order").limit(sample), "sample").agg(F.max("order")).first()[0]
-    if first is None:
-        return Scorer(labels, np.zeros(PLACES), 0.0)
-    chosen = _texts(docs, order.alias("order")).where(F.col("order") <= first).drop("order")
-    rows = [(r["at"], r["x"], r["good"]) for r in chosen.mapInArrow(learn, "at array<int>, x array<double>, good double").limit(2 * sample).collect()]  # beyond the sample only ids that repeat
-    rows.sort()
-    weights, bias = fit_linear(rows)
+
+def fit(found: DataFrame, sample: int = SAMPLE) -> Scorer:
+    """The label model on the votes on every document, the scorer on at most
+    ``sample`` of them. ``found`` is what ``seen`` gives. What reaches the driver is
+    at most 3^10 counts of patterns, and the sample's features."""
+    counted = found.groupBy("pattern").count().collect()
+    labels = LabelModel.fit(sorted((tuple(b - 1 for b in bytes(r["pattern"])), r["count"]) for r in counted))
+    rows = found.orderBy("order", "pattern", "at", "x").limit(sample).select("pattern", "at", "x").collect()
+    weights, bias = fit_linear([(r["at"], r["x"], labels.posterior(tuple(b - 1 for b in bytes(r["pattern"])))) for r in rows])
     return Scorer(labels, weights, bias)
 
 
-def score(docs: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
+def score(found: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
     """``doc_id``, ``quality`` (P(good) by the scorer), ``weak_quality`` (by the
-    label model alone), ``n_votes`` and ``kept`` (quality of at least ``least``),
-    one row for each row of ``docs``, in one pass.
-
-    A null text counts as empty, which no labeller minds; a null id stays null;
-    repeated rows give repeated results; columns beside ``doc_id`` and ``text``
-    are ignored; an empty table gives an empty result.
-    """
-    tune(docs.sparkSession)
+    label model alone), ``n_votes`` and ``kept`` (quality of at least ``least``)."""
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.float64()), ("weak_quality", pa.float64()), ("n_votes", pa.int32()), ("kept", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [look((t or b"").decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-            said = [votes(x) for x in seen]
-            quality = [model.good(x) for x in seen]
+            said = [tuple(b - 1 for b in p) for p in batch.column(1).to_pylist()]
+            quality = [model.of(at, x) for at, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             out = {
-                "doc_id": batch.column(0).to_pylist(), "quality": quality, "weak_quality": [model.labels.posterior(tuple(v)) for v in said],
+                "doc_id": batch.column(0).to_pylist(), "quality": quality, "weak_quality": [model.labels.posterior(v) for v in said],
                 "n_votes": [sum(x >= 0 for x in v) for v in said], "kept": [q >= least for q in quality],
             }
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, quality double, weak_quality double, n_votes int, kept boolean")
+    return found.select("doc_id", "pattern", "at", "x").mapInArrow(run, "doc_id long, quality double, weak_quality double, n_votes int, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
@@ -290,5 +271,12 @@ def keep_good(docs: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
 
 
 def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Fit on ``docs`` (see ``fit``) and score them (see ``score``)."""
-    return score(docs, fit(docs, sample))
+    """Quality of every text, by a model of all of them; one row for each row.
+
+    Returns what ``score`` does. A null text counts as empty, which no labeller
+    minds; a null id stays null; repeated rows give repeated results; columns
+    beside ``doc_id`` and ``text`` are ignored; an empty table gives an empty
+    result.
+    """
+    found = seen(docs)
+    return score(found, fit(found, sample))
