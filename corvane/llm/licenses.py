@@ -113,7 +113,8 @@ def containments(docs: DataFrame, templates: list[tuple[str, str]], threshold: f
 
     numbers = F.create_map(*[F.lit(x) for pair in index.number.items() for x in pair])
     held = docs.select("doc_id", words.alias("words")).where(F.arrays_overlap(F.array_intersect("words", known), F.array(*[F.lit(w) for w in sorted(index.rare)])))
-    starts = F.sequence(F.lit(1), F.size("words"), F.lit(longest))
+    # the first and the last element stand outside the spaces and are empty
+    starts = F.sequence(F.lit(2), F.greatest(F.size("words") - 1, F.lit(2)), F.lit(longest))
     blocks = held.select("doc_id", "words", F.explode(starts).alias("start")).select("doc_id", "start", F.array_intersect(F.slice("words", F.col("start"), 2 * longest), known).alias("some"))
     sets = blocks.where(F.size("some") >= index.least).select("doc_id", "start", F.array_sort(F.transform("some", lambda w: numbers[w])).alias("all_b"))
     prefixes = sets.select("doc_id", "start", "all_b", F.posexplode(F.slice("all_b", 1, F.size("all_b") - index.least + 1)).alias("at", "token"))
@@ -123,7 +124,7 @@ def containments(docs: DataFrame, templates: list[tuple[str, str]], threshold: f
         & (F.least(F.col("tokens_t") - F.col("place"), F.size("all_b") - F.col("at")) >= F.col("need"))
     )
     overlap = F.size(F.array_intersect("all_b", "all_t"))
-    return pairs.where(overlap >= F.col("need")).select("doc_id", F.col("start").alias("block"), "template", "label", (overlap / F.col("tokens_t")).alias("containment")).distinct()
+    return pairs.where(overlap >= F.col("need")).select("doc_id", (F.col("start") - 2).alias("block"), "template", "label", (overlap / F.col("tokens_t")).alias("containment")).distinct()
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
