@@ -2,21 +2,85 @@
 
 from __future__ import annotations
 
+from .licenses import LOWER, PHRASES, TEMPLATES, UPPER
+
 #: A uniform 60-bit number from an id; the seed is the operator's.
 KEY = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{seed}'), 1, 15) AS BIGINT)"
 
-CAPS = """
-WITH v AS (
+#: Everything that undirected links l (a, b) reach from each a.
+REACH = "reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)"
+
+CAPS = f"""
+WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
 ), l AS (
-  SELECT a.vec_id, b.vec_id AS other FROM v a, v b
-  WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x, v y
+  WHERE x.vec_id <> y.vec_id AND list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.9
+), {REACH}, n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+), c AS (
+  SELECT a, min(b) AS c FROM reach GROUP BY a
+)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(c.c, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(c.c, v.vec_id)) AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN c ON c.a = v.vec_id
+"""
+
+#: Exact, from all pairs that share a run of five words.
+NEAR = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), s AS (
+  SELECT doc_id, count(*) AS s FROM g GROUP BY doc_id
+), o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), j AS (
+  SELECT o.a, o.b, o.o / (x.s + y.s - o.o) AS j FROM o JOIN s x ON x.doc_id = o.a JOIN s y ON y.doc_id = o.b
+), l AS (
+  SELECT a, b, j FROM j WHERE j >= 0.8
+), {REACH}, n AS (
+  SELECT a, count(*) AS n, min(b) FILTER (j = 1) AS same FROM l GROUP BY a
 ), c AS (
-  SELECT v.vec_id, count(l.other) AS n_links, least(v.vec_id, min(l.other)) AS component_id FROM v LEFT JOIN l USING (vec_id) GROUP BY v.vec_id
+  SELECT a, min(b) AS c FROM reach GROUP BY a
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(n.same, d.doc_id)) AS class_id, coalesce(n.n, 0) AS n_links, least(d.doc_id, coalesce(c.c, d.doc_id)) AS group_id, d.doc_id = least(d.doc_id, coalesce(c.c, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n ON n.a = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+"""
+
+
+def _licenses() -> str:
+    """Every window of words held against every template."""
+    longest = max(len(t.split()) for _, t in TEMPLATES)
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))}, {len(set(t.split()))})" for label, t in TEMPLATES)
+    places = []
+    for phrase, label in PHRASES.items():
+        test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+        places.append(f"SELECT k, i - 1 AS at_word, '{label}' AS label FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE {test}")
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), p AS (
+  {" UNION ALL ".join(places)}
+), t(label, tokens, n) AS (VALUES {templates}), b AS (
+  SELECT k, list_distinct(w[i + 1:i + {2 * longest}]) AS b FROM (SELECT k, w, unnest(range(0, len(w) + 1, {longest})) AS i FROM d)
+), m AS (
+  SELECT k, label, len(list_intersect(b, tokens)) / n AS held FROM b, t WHERE len(list_intersect(b, tokens)) >= ceil(0.8 * n - 0.000000001)
+), x AS (
+  SELECT k, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word FROM p GROUP BY k
+), y AS (
+  SELECT k, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM p GROUP BY k
+), z AS (
+  SELECT k, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(held) AS best FROM (SELECT k, label, held FROM m UNION ALL SELECT k, label, 0 FROM p) GROUP BY k
 )
-SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM c
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN x USING (k) LEFT JOIN y USING (k) LEFT JOIN z USING (k)
 """
 
+
+LICENSES = _licenses()
+
 SHARDS = f"""
 WITH k AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, {KEY.format(seed=5)} AS h FROM documents
@@ -56,6 +120,9 @@ FROM o
 """
 
 ORACLES = {
+    "op1_ngram_join": NEAR,
+    "op3_license_scan": LICENSES,
+    "op4_cap_filters": CAPS,
     "op5_sharding": SHARDS,
     "op7_mixing": MIX,
 }
