@@ -126,6 +126,37 @@ def to_json_rows(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("vector", expr.vector_literal("vector")).withColumn("metadata", F.coalesce(F.to_json("metadata"), F.lit("{}")))
 
 
+def jdbc_predicate(f: MetadataFilter) -> str:
+    """A filter on a JSONB column in a database's own SQL, to be pushed to it.
+
+    Values compare as strings, as everywhere; an unknown operator matches nothing.
+    """
+    quote = lambda v: "'" + str(v).replace("'", "''") + "'"
+    field, many = quote(f.field), isinstance(f.value, (list, tuple, set))
+    if f.op == "eq" and not many:
+        value = str(f.value).lower() if isinstance(f.value, bool) else f.value
+        return f"metadata ->> {field} = {quote(value)}"
+    if f.op in ("in", "any_of") and many:
+        listed = "ARRAY[" + ", ".join(quote(v) for v in f.value) + "]::text[]"
+        return f"metadata ->> {field} = ANY({listed})" if f.op == "in" else f"metadata -> {field} ?| {listed}"
+    return "FALSE"
+
+
+def jdbc_search(spark: SparkSession, url: str, table: str, vector: Sequence[float], top_k: int, filters: Sequence[MetadataFilter] = (), **options) -> DataFrame:
+    """The nearest chunks by a database's cosine distance, sorted and cut there."""
+    k = top_k if top_k > 0 else DEFAULT_TOP_K
+    return spark.read.format("jdbc").options(url=url, query=jdbc_query(table, vector, k, filters), **options).load()
+
+
+def jdbc_query(table: str, vector: Sequence[float], top_k: int, filters: Sequence[MetadataFilter] = ()) -> str:
+    """What ``jdbc_search`` asks."""
+    if not re.fullmatch(r"\w+(\.\w+)?", table):
+        raise ValueError(f"not a table name: {table}")
+    where = " AND ".join(jdbc_predicate(f) for f in filters) or "TRUE"
+    distance = f"vector <=> '[{','.join(repr(float(x)) for x in vector)}]'"
+    return f"SELECT unit_id, source_doc_id, source_uri, text, metadata::text AS metadata, 1 - ({distance}) AS score FROM {table} WHERE {where} ORDER BY {distance}, unit_id LIMIT {int(top_k)}"
+
+
 def jdbc_table(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
     """Chunks in a database, for sessions that have its driver."""
     return from_json_rows(spark.read.format("jdbc").options(url=url, dbtable=table, **options).load())

@@ -100,6 +100,15 @@ def test_json_rows_and_ddl(spark):
             store.ddl(*bad)
 
 
+def test_database_queries():
+    f = [MetadataFilter("lang", "eq", "o'x"), MetadataFilter("n", "in", [1, 2]), MetadataFilter("tags", "any_of", ["a"]), MetadataFilter("x", "like", "y")]
+    assert [store.jdbc_predicate(x) for x in f] == ["metadata ->> 'lang' = 'o''x'", "metadata ->> 'n' = ANY(ARRAY['1', '2']::text[])", "metadata -> 'tags' ?| ARRAY['a']::text[]", "FALSE"]
+    asked = store.jdbc_query("t", [1, 2.5], 3, f[:1])
+    assert "<=> '[1.0,2.5]'" in asked and "WHERE metadata ->> 'lang' = 'o''x' ORDER BY" in asked and asked.endswith("LIMIT 3")
+    with pytest.raises(ValueError):
+        store.jdbc_query("t; drop", [1], 3)
+
+
 def rag(spark, tmp_path, **more):
     kept = store.TableStore(spark, f"chunks_{tmp_path.name.replace('-', '_')}", str(tmp_path / "store"))
     search = lambda c, q: retrieve.vector(c, q, embed.letter_frequency)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions import expr, serde
+from corvane.functions import expr, schema, serde
 from corvane.functions.expr import MetadataFilter
 from corvane.operators import retrieve
 
@@ -117,3 +117,10 @@ def test_envelopes(spark):
 def test_wanted(spark):
     df = spark.createDataFrame([(0,), (-1,), (None,), (3,)], "top_k int")
     assert [r.k for r in df.select(retrieve.wanted().alias("k")).collect()] == [10, 10, 10, 3]
+
+
+def test_rows_of_schemas(spark):
+    chunk = schema.chunk_rows(spark, [{"unit_id": "c", "text": "t", "vector": [1.0], "metadata": {"k": [1]}}, {"unit_id": "d"}]).withColumn("m", F.to_json("metadata")).orderBy("unit_id").collect()
+    assert [(r.unit_id, r.text, r.vector, r.m) for r in chunk] == [("c", "t", [1.0], '{"k":[1]}'), ("d", None, None, None)]
+    assert schema.fact_rows(spark, [{"unit_id": "f", "subject": "s", "predicate": "p", "object": "o"}]).select(expr.fact_text().alias("x")).first().x == "s is related to o via p."
+    assert schema.query_rows(spark, [{"query_id": "q", "text": "t"}]).columns == ["query_id", "text", "tenant_id", "subject", "top_k"]
