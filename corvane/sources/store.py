@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,26 +64,41 @@ def search(chunks: DataFrame, vector: Sequence[float], top_k: int, filters: Sequ
 
 
 class TableStore:
-    """Chunks in a table of the session's catalog. Each change writes the next
-    version beside the current one and then turns the table to it, so readers
-    never see a half-written state."""
+    """Chunks under one folder, seen as a view of the session.
+
+    Each change writes a new version beside the current one and then adds a line to
+    a log that says which is current, so readers never see a half-written state and
+    a later session finds the last version.
+    """
 
     def __init__(self, spark: SparkSession, table: str = "chunks", location: str | None = None):
-        if not re.fullmatch(r"\w+(\.\w+)?", table):
+        if not re.fullmatch(r"\w+", table):
             raise ValueError(f"not a table name: {table}")
         self.spark, self.table = spark, table
-        base = location or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/{table.replace('.', '/')}_versions"
-        self.location, self.version = base, 0
+        self.location = location or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table}_versions"
+        self.number = 0
+        try:
+            last = spark.read.parquet(f"{self.location}/log").orderBy(F.desc("number")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = None
+        if last is not None:
+            self.number = last["number"]
+            spark.read.parquet(last["path"]).createOrReplaceTempView(table)
+        else:
+            spark.catalog.dropTempView(table)
 
     def ensure(self, schema: str) -> None:
         """Begin empty where nothing is stored yet."""
-        if not self.spark.catalog.tableExists(self.table):
+        if not self.number:
             self._turn(self.spark.createDataFrame([], schema))
 
     def _turn(self, df: DataFrame) -> None:
-        path = f"{self.location}/{self.version + 1}"
-        df.write.mode("overwrite").parquet(path)
-        self.version += 1
+        path = f"{self.location}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.spark.createDataFrame([(self.number + 1, path)], "number long, path string").coalesce(1).write.mode("append").parquet(f"{self.location}/log")
+        self.number += 1
         self.spark.read.schema(df.schema).parquet(path).createOrReplaceTempView(self.table)
 
     def chunks(self) -> DataFrame:
@@ -89,12 +106,12 @@ class TableStore:
 
     def store(self, chunks: DataFrame) -> None:
         """Insert or replace by ``unit_id``."""
-        self._turn(upsert(self.chunks(), chunks) if self.spark.catalog.tableExists(self.table) else latest(chunks))
+        self._turn(upsert(self.chunks(), chunks) if self.number else latest(chunks))
 
     def replace_documents(self, chunks: DataFrame) -> None:
         """Store the chunks of documents whose earlier chunks all go first, so that a
         shorter version leaves none behind."""
-        if not self.spark.catalog.tableExists(self.table):
+        if not self.number:
             return self._turn(latest(chunks))
         left = delete(self.chunks(), chunks.select("source_doc_id"), "source_doc_id")
         return self._turn(left.unionByName(latest(chunks), allowMissingColumns=True))

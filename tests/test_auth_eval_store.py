@@ -88,6 +88,21 @@ def test_upsert_delete_search(spark):
     assert [r.unit_id for r in store.search(old, [1.0, 0.0], 5, threshold=0.5).collect()] == ["c1"]
 
 
+def test_store_is_found_again(spark, tmp_path):
+    first = store.TableStore(spark, "again", str(tmp_path / "s"))
+    first.ensure("unit_id string, source_doc_id string, text string")
+    assert first.chunks().count() == 0
+    row = lambda i, t: spark.createDataFrame([(i, "d", t)], "unit_id string, source_doc_id string, text string")
+    first.store(row("a", "one"))
+    second = store.TableStore(spark, "again", str(tmp_path / "s"))
+    second.store(row("b", "two"))
+    second.store(row("a", "three"))
+    assert sorted((r.unit_id, r.text) for r in store.TableStore(spark, "again", str(tmp_path / "s")).chunks().collect()) == [("a", "three"), ("b", "two")]
+    second.delete(["a", "zz"])
+    second.delete([])
+    assert [r.unit_id for r in second.chunks().collect()] == ["b"]
+
+
 def test_json_rows_and_ddl(spark):
     rows = spark.createDataFrame([("a", "[1,2]", '{"k":1}'), ("b", "oops", "{}"), ("c", "[]", "oops")], "unit_id string, vector string, metadata string")
     got = {r.unit_id: (r.vector, r.m) for r in store.from_json_rows(rows).withColumn("m", F.to_json("metadata")).collect()}
