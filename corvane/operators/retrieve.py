@@ -107,36 +107,64 @@ def vector(chunks: DataFrame, queries: DataFrame, embed: Callable[[Column], Colu
 # words
 
 
+def _counted(words: DataFrame) -> DataFrame:
+    """Postings of rows (unit_id, length, term)."""
+    return words.groupBy("term", "unit_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+
 @dataclass
 class Bm25Index:
-    """Postings (term, unit_id, tf, length), documents of each term, and totals."""
+    """Words of chunks, or stored postings (term, unit_id, tf, length) and documents of
+    each term; totals of all chunks; and the chunks that may be found."""
 
-    postings: DataFrame
-    terms: DataFrame
+    words: DataFrame | None
+    stored: tuple[DataFrame, DataFrame] | None
     totals: DataFrame
     chunks: DataFrame
+    #: Whether ``chunks`` are fewer than those that the statistics cover.
+    limited: bool = False
 
     @classmethod
     def build(cls, chunks: DataFrame) -> "Bm25Index":
         """Of chunks with unique ids; statistics cover all of them, also those
-        without words."""
+        without words. Nothing is computed yet."""
         if "as_text" not in chunks.columns:
             have = set(chunks.columns)
             get = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
             chunks = chunks.withColumn("as_text", expr.as_text("text", get("window_text"), get("context_prefix")))
-        words = chunks.select("unit_id", expr.tokens("as_text").alias("words"))
-        sized = words.select("unit_id", F.size("words").alias("length"), "words")
-        postings = sized.select("unit_id", "length", F.explode("words").alias("term")).groupBy("term", "unit_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-        return cls(postings, postings.groupBy("term").agg(F.count("*").alias("df")), sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")), chunks)
+        sized = chunks.select("unit_id", expr.tokens("as_text").alias("words")).select("unit_id", F.size("words").alias("length"), "words")
+        # an outer explode, as an inner one would test the words' number by splitting again
+        words = sized.select("unit_id", "length", F.explode_outer("words").alias("term")).where("term is not null")
+        return cls(words, None, sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")), chunks)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.stored[0] if self.stored else _counted(self.words)
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.stored[1] if self.stored else self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    def of(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and document counts of the terms in ``asked`` alone: other words
+        are dropped where they are read, before anything is shuffled."""
+        if self.stored:
+            return self.stored[0].join(asked, "term", "left_semi"), self.stored[1]
+        some = _counted(self.words.join(asked, "term", "left_semi"))
+        return some, some.groupBy("term").agg(F.count("*").alias("df"))
+
+    def within(self, chunks: DataFrame) -> "Bm25Index":
+        """The same statistics, with fewer chunks to be found."""
+        return Bm25Index(self.words, self.stored, self.totals, self.chunks.join(chunks.select("unit_id"), "unit_id", "left_semi"), True)
 
     def write(self, path: str) -> "Bm25Index":
         """Keep the index as Parquet, postings clustered by term, and read it back."""
         spark = self.chunks.sparkSession
         self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
-        stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        kept = spark.read.parquet(f"{path}/postings")
+        kept.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         self.totals.write.mode("overwrite").parquet(f"{path}/totals")
-        return Bm25Index(stored, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals"), self.chunks)
+        return Bm25Index(None, (kept, spark.read.parquet(f"{path}/terms")), spark.read.parquet(f"{path}/totals"), self.chunks)
 
 
 def bm25(index: Bm25Index, queries: DataFrame, filters: Sequence[MetadataFilter] = (), k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
@@ -147,9 +175,10 @@ def bm25(index: Bm25Index, queries: DataFrame, filters: Sequence[MetadataFilter]
     scores stay.
     """
     asked = queries.select("query_id", F.explode(expr.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    found = index.postings.join(asked, "term").join(index.terms, "term")
+    postings, terms = index.of(asked.select("term").distinct())
+    found = postings.join(asked, "term").join(terms, "term")
     rows = _prefer(index.chunks, filters, True)
-    if filters or ("tenant_id" in queries.columns and "tenant_id" in rows.columns):
+    if filters or index.limited or ("tenant_id" in queries.columns and "tenant_id" in rows.columns):
         found = found.join(rows.select("unit_id", *(["tenant_id"] if "tenant_id" in rows.columns else [])), "unit_id")
     totals = found.crossJoin(F.broadcast(index.totals))  # one row
     n, df, tf = F.col("n").cast("double"), F.col("df").cast("double"), F.col("tf").cast("double")

@@ -348,9 +348,8 @@ def auth_post(s, d):
 def auth_pre(s, d):
     """Statistics are those of all documents; candidates only the permitted ones."""
     index = retrieve.Bm25Index.build(_units(s, d))
-    index.chunks = auth.permitted_chunks(index.chunks, "user3", auth.Allowlist(_grants(s, d)))
-    index.postings = index.postings.join(index.chunks.select("unit_id"), "unit_id", "left_semi")
-    return _ranked(retrieve.bm25(index, _questions(s, d), digits=DIGITS))
+    seen = auth.permitted_chunks(index.chunks, "user3", auth.Allowlist(_grants(s, d)))
+    return _ranked(retrieve.bm25(index.within(seen), _questions(s, d), digits=DIGITS))
 
 
 def auth_roles(s, d):
