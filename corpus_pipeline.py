@@ -35,7 +35,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     told, of = stash(ngram_join(docs), "told"), _free(docs)
     same = F.col("doc_id") == F.col(of)
-    left = docs.join(told.where(~F.col("kept")).select(F.col("doc_id").alias(of)).distinct(), same, "left_anti")
+    # what goes grows with the corpus, so it is merged at every size and never broadcast
+    gone = told.where(~F.col("kept")).select(F.col("doc_id").alias(of)).distinct()
+    left = docs.join(gone.hint("merge"), same, "left_anti")
     repeated = stash(told.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(of)).count().where("count > 1").select(of), "repeated")
     if repeated.isEmpty():
         return left
