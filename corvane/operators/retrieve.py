@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from ..sources.store import DEFAULT_TOP_K
 UNITS = ("query_id", "rank", "unit_type", "unit_id", "source_doc_id", "source_uri", "as_text", "score", "scores", "parent_id")
 #: Queries that one broadcast holds; more are taken in several rounds.
 QUERY_BLOCK = 4096
+#: Chunks that are multiplied with a block of queries at once.
+ROW_BLOCK = 1024
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
@@ -76,32 +80,85 @@ def _prefer(chunks: DataFrame, filters: Sequence[MetadataFilter], tenants: bool)
 # vectors
 
 
+def _nearest(asked: list, digits: int | None, tenants: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The best rows of a partition for each query, as a function of its Arrow batches.
+
+    Rows come in blocks that are multiplied with all queries of their length at once;
+    of each query only as many rows as it wants are held.
+    """
+    ids = [q["query_id"] for q in asked]
+    limits = [q["_limit"] for q in asked]
+    lengths = np.array([len(q["_query"]) for q in asked])
+    owners = np.array([q["_tenant"] or "" for q in asked]) if tenants else None
+    groups = []
+    for size in sorted(set(lengths.tolist()) - {0}):
+        who = np.flatnonzero(lengths == size)
+        x = np.array([asked[i]["_query"] for i in who], dtype=np.float64)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        groups.append((who, size, np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)))
+
+    def scores(vectors: list) -> np.ndarray:
+        out = np.zeros((len(ids), len(vectors)))
+        for who, size, x in groups:
+            fit = [i for i, v in enumerate(vectors) if len(v) == size]
+            if fit:
+                y = np.array([vectors[i] for i in fit], dtype=np.float64)
+                norm = np.sqrt((y * y).sum(1, keepdims=True))
+                out[np.ix_(who, fit)] = x @ np.divide(y, norm, out=np.zeros_like(y), where=norm > 0).T
+        return np.round(out, digits) + 0.0 if digits else out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[float, str]]] = [[] for _ in ids]
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(start, ROW_BLOCK)
+                units_, vectors = part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False)
+                got = scores(list(vectors))
+                if tenants:
+                    theirs = np.array([t or "" for t in part.column(2).to_pylist()])
+                    got[(owners[:, None] != "") & (owners[:, None] != theirs[None, :])] = -np.inf
+                for i, row in enumerate(got):
+                    k, mine = limits[i], held[i]
+                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                    if len(mine) == k:
+                        least = max(least, -mine[-1][0])
+                    new = np.flatnonzero((row >= least) & (row > -np.inf))
+                    if len(new):
+                        held[i] = sorted(mine + [(-row[j], units_[j]) for j in new])[:k]
+        rows = [(q, u, -s) for q, mine in zip(ids, held) for s, u in mine]
+        yield pa.RecordBatch.from_pydict({n: [r[j] for r in rows] for j, n in enumerate(("query_id", "unit_id", "score"))}, schema=pa.schema([("query_id", pa.string()), ("unit_id", pa.string()), ("score", pa.float64())]))
+
+    return run
+
+
 def vector(chunks: DataFrame, queries: DataFrame, embed: Callable[[Column], Column] | None = None, filters: Sequence[MetadataFilter] = (), digits: int | None = None) -> DataFrame:
     """The nearest chunks by cosine, exactly.
 
     Queries have a ``vector``, or get one of their text by ``embed``. All filters
     hold before scoring. If both sides have a ``tenant_id``, a query with one sees
-    only that tenant's chunks. Blocks of queries are broadcast, so the chunks are
-    scanned in place; a query's candidates are cut in each partition before the
-    shuffle. ``digits`` rounds scores before they are compared.
+    only that tenant's chunks. Vectors of other lengths and zero vectors score 0.
+
+    Queries are taken in blocks of at most QUERY_BLOCK. Each block travels to the
+    executors, where the chunks are multiplied with it as they are scanned; a
+    partition passes on only as many rows of a query as it wants, so the shuffle
+    does not grow with the chunks' size. ``digits`` rounds scores before they are
+    compared.
     """
     if embed is not None and "vector" not in queries.columns:
         queries = queries.withColumn("vector", embed(F.col("text")))
-    queries = queries.select("query_id", wanted().alias("_limit"), F.col("vector").alias("_query"), expr.norm("vector").alias("_norm"), *(["tenant_id"] if "tenant_id" in queries.columns else []))
     rows = _prefer(chunks, filters, True).where("vector is not null")
-    rows = rows if "norm" in rows.columns else rows.withColumn("norm", expr.norm("vector"))
     tenants = "tenant_id" in queries.columns and "tenant_id" in rows.columns
-    queries = queries.withColumnRenamed("tenant_id", "_tenant")
+    slim = rows.select(F.col("unit_id").cast("string").alias("unit_id"), "vector", *(["tenant_id"] if tenants else []))
+    owner = F.col("tenant_id") if tenants else F.lit(None).cast("string")
+    asked = queries.where("vector is not null").select("query_id", wanted().alias("_limit"), F.col("vector").cast("array<double>").alias("_query"), owner.alias("_tenant"))
 
     def run(block: DataFrame) -> DataFrame:
-        pairs = rows.crossJoin(F.broadcast(block))
-        if tenants:
-            pairs = pairs.where(F.coalesce(F.col("_tenant"), F.lit("")).isin("") | (F.col("_tenant") == F.col("tenant_id")))
-        score = expr.cosine("_query", "vector", F.col("_norm"), F.col("norm"))
-        scored = pairs.withColumn("score", F.round(score, digits) if digits else score)
-        return best(scored.drop("vector", "_query"), F.col("_limit"))
+        return slim.mapInArrow(_nearest(block.collect(), digits, tenants), "query_id string, unit_id string, score double")
 
-    return units(_rounds(queries, run), stage="vector")
+    near = _rounds(asked, run).join(_limits(queries), F.col("query_id") == F.col("_asked"))
+    ranked = best(near, F.col("_limit")).select("query_id", "unit_id", "rank", "score")
+    payload = rows.drop("vector", "norm").withColumn("unit_id", F.col("unit_id").cast("string"))
+    return units(ranked.join(payload, "unit_id"), stage="vector")
 
 
 # words
