@@ -19,7 +19,7 @@ from .groups import by_group
 
 WORD = re.compile(r"\w+")
 #: Members and shingles of one block; two blocks are compared in one task.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 400_000
+BLOCK_ROWS, BLOCK_SHINGLES = 128, 200_000
 #: Words whose hashes a worker remembers.
 CACHE = 500_000
 _seen: dict[str, int] = {}
