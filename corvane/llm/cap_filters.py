@@ -82,56 +82,65 @@ def codes_for(dim: int, vectors: int, threshold: float, recall: float, trials: i
         words *= 2
 
 
-def _unit(values) -> np.ndarray | None:
-    """A vector's direction in double precision; None for what links with nothing."""
+def _raw(values, kind: type) -> bytes | None:
+    """A vector's components as bytes; None for what links with nothing."""
     if values is None or not len(values) or any(v is None for v in values):
         return None
-    x = np.array(values, dtype=np.float64)
-    if not np.isfinite(x).all() or not (most := np.abs(x).max()):
-        return None
-    x = x / most
-    return x / np.sqrt(x @ x)
+    x = np.array(values, dtype=kind)
+    return x.tobytes() if np.isfinite(x).all() and x.any() else None
+
+
+def _units(raw: list[bytes], kind: type) -> np.ndarray:
+    """Directions in double precision, of vectors of equal length."""
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _read(kind: type):
+    schema = pa.schema([("vec_id", pa.int64()), ("key", pa.binary()), ("raw", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [_raw(v, kind) for v in batch.column(1).to_pylist()]
+            keys = [None if r is None else hashlib.blake2b(_units([r], kind).tobytes(), digest_size=16).digest() for r in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], schema=schema)
+
+    return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("vec_id", pa.int64()), ("key", pa.binary()), ("unit", pa.binary())])
-    for batch in batches:
-        units = [_unit(v) for v in batch.column(1).to_pylist()]
-        raw = [None if u is None else u.tobytes() for u in units]
-        keys = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], schema=schema)
+def _decoded(raw: list[bytes], kind: type, codes: dict[int, list[ProductCode]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers, and ids of the caps that hold them, of vectors of equal length."""
+    units = _units(raw, kind)
+    found = [code.decode(units) for code in codes[units.shape[1]]]
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _capped(codes: dict[int, list[ProductCode]]):
-    schema = pa.schema([("cap", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("unit", pa.binary()), ("caps", pa.binary())])
+def _capped(codes: dict[int, list[ProductCode]], kind: type):
+    schema = pa.schema([("cap", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("raw", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, counts, raw = (batch.column(i).to_pylist() for i in range(3))
-            for dim in sorted({len(r) // 8 for r in raw}):
-                who = [i for i, r in enumerate(raw) if len(r) // 8 == dim]
-                units = np.stack([np.frombuffer(raw[i]) for i in who])
-                found = [code.decode(units) for code in codes[dim]]
-                rows, caps = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((caps, rows))
-                rows, caps = rows[order], caps[order]
-                own = [x.tobytes() for x in np.split(caps, np.searchsorted(rows, np.arange(1, len(who))))]
+            for size in sorted({len(r) for r in raw}):
+                who = [i for i, r in enumerate(raw) if len(r) == size]
+                rows, caps = _decoded([raw[i] for i in who], kind, codes)
                 for start in range(0, len(rows), 10_000):
                     at = [who[i] for i in rows[start : start + 10_000].tolist()]
-                    part = {"cap": caps[start : start + 10_000], "rep": [reps[i] for i in at], "n": [counts[i] for i in at], "unit": [raw[i] for i in at], "caps": [own[i] for i in rows[start : start + 10_000].tolist()]}
-                    yield pa.RecordBatch.from_pydict(part, schema=schema)
+                    yield pa.RecordBatch.from_pydict({"cap": caps[start : start + 10_000], "rep": [reps[i] for i in at], "n": [counts[i] for i in at], "raw": [raw[i] for i in at]}, schema=schema)
 
     return run
 
 
-def _verified(threshold: float):
-    """Links of two blocks of a cap, without those that an earlier cap has too."""
+def _verified(threshold: float, codes: dict[int, list[ProductCode]], kind: type):
+    """Links of two blocks of a cap, without those that an earlier cap has too. Only
+    for vectors that have links here are their other caps decoded again."""
 
     def run(rows: dict[str, list]) -> dict[str, list] | None:
         reps = np.array(rows["rep"], dtype=np.int64)
         if len(reps) < 2:
             return None
-        units = np.frombuffer(b"".join(rows["unit"])).reshape(len(reps), -1)
+        units = _units(rows["raw"], kind)
         near = units @ units.T >= threshold
         np.fill_diagonal(near, False)
         if rows["bi"][0] != rows["bj"][0]:
@@ -141,9 +150,9 @@ def _verified(threshold: float):
         if not len(hit):
             return None
         near = near[np.ix_(hit, hit)]
-        earlier = [x[x < rows["cap"][0]] for x in (np.frombuffer(rows["caps"][i], dtype=np.int64) for i in hit)]
-        ids, places = np.unique(np.concatenate(earlier), return_inverse=True)
-        who = np.repeat(np.arange(len(hit)), [len(x) for x in earlier])
+        who, caps = _decoded([rows["raw"][i] for i in hit], kind, codes)
+        before = caps < rows["cap"][0]
+        who, (ids, places) = who[before], np.unique(caps[before], return_inverse=True)
         met = np.zeros((len(hit), len(hit)), dtype=np.float32)
         for start in range(0, len(ids), 4096):
             part = (places >= start) & (places < start + 4096)
@@ -183,21 +192,23 @@ def cap_join(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.999)
     Other columns are ignored. An empty table gives an empty result.
     """
     tune(vectors.sparkSession)
-    read = stash(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_read, "vec_id long, key binary, unit binary"), "units")
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
+    wide = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind is np.float32 else "array<double>").alias("embedding"))
+    read = stash(wide.mapInArrow(_read(kind), "vec_id long, key binary, raw binary"), "vectors")
     valid = F.col("vec_id").isNotNull() & F.col("key").isNotNull()
-    classes = stash(read.where(valid).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit")), "directions")
-    lengths = classes.groupBy((F.octet_length("unit") / 8).cast("int").alias("dim")).count().collect()  # a row a vector length
+    classes = stash(read.where(valid).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw")), "directions")
+    lengths = classes.groupBy((F.octet_length("raw") / np.dtype(kind).itemsize).cast("int").alias("dim")).count().collect()  # a row a vector length
     codes = {r["dim"]: codes_for(r["dim"], r["count"], threshold, recall) for r in lengths}
-    held = classes.select("rep", "n", "unit").mapInArrow(_capped(codes), "cap long, rep long, n long, unit binary, caps binary")
+    held = classes.select("rep", "n", "raw").mapInArrow(_capped(codes, kind), "cap long, rep long, n long, raw binary")
     large = stash(held.groupBy("cap").count().where(F.col("count") > BLOCK_ROWS).select(F.col("cap").alias("full"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "caps")
     placed = (
         held.join(large, F.col("cap") == F.col("full"), "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cap", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "n", "unit", "caps")
+        .select("cap", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "n", "raw")
     )
-    links = stash(by_group(placed, ["cap", "bi", "bj"], _verified(threshold), "rep long, links long, root long", pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])), "links")
+    links = stash(by_group(placed, ["cap", "bi", "bj"], _verified(threshold, codes, kind), "rep long, links long, root long", pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])), "links")
     groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     told = stash(
         classes.select(F.col("key").alias("class_key"), "rep", "n")
