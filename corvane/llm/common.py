@@ -52,3 +52,11 @@ def whole_text(name: str = "text") -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hash_sample(df: DataFrame, order: str, size: int) -> DataFrame:
+    """The rows whose 64-bit hash in ``order`` is below the share that gives about
+    ``size`` rows: all of them if there are no more, and never twice as many unless
+    hashes repeat. A filter, so nothing is sorted or gathered."""
+    n = df.count()
+    return df if n <= size else df.where(F.col(order) < F.lit(int(-(2**63) + 2**64 * (size / n))))

@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, tune
+from .common import hash_sample, stash, tune
 
-#: Rows that the scorer is trained on, at most; the first by a hash of the id.
+#: Rows that the scorer is trained on, about and by a hash of the id; all, if there are fewer.
 SAMPLE = 12_000
 #: Places that features are hashed to.
 PLACES = 1 << 14
@@ -229,12 +229,14 @@ def seen(docs: DataFrame) -> DataFrame:
 
 
 def fit(found: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """The label model on the votes on every document, the scorer on at most
-    ``sample`` of them. ``found`` is what ``seen`` gives. What reaches the driver is
+    """The label model on the votes on every document, the scorer on about
+    ``sample`` of them, or on all if there are fewer. ``found`` is what ``seen`` gives. What reaches the driver is
     at most 3^10 counts of patterns, and the sample's features."""
     counted = found.groupBy("pattern").count().collect()
     labels = LabelModel.fit(sorted((tuple(b - 1 for b in bytes(r["pattern"])), r["count"]) for r in counted))
-    rows = found.orderBy("order", "pattern", "at", "x").limit(sample).select("pattern", "at", "x").collect()
+    # rows that repeat an id and a text are one
+    some = hash_sample(found, "order", sample).groupBy("order", "pattern").agg(F.min(F.struct("at", "x")).alias("features"))
+    rows = sorted(some.select("pattern", "features.*").collect(), key=lambda r: (bytes(r["pattern"]), r["at"], r["x"]))
     weights, bias = fit_linear([(r["at"], r["x"], labels.posterior(tuple(b - 1 for b in bytes(r["pattern"])))) for r in rows])
     return Scorer(labels, weights, bias)
 
