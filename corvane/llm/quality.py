@@ -28,6 +28,9 @@ FUNCTION_WORDS = frozenset(
 )
 #: Bounds of the labellers' rates: faults found in good texts at most, in bad ones at least.
 ALARM, MISS = 0.005, 0.05
+#: The least share of good texts that is believed, so that a text without faults is kept
+#: whatever the others are.
+LEAST_GOOD = 0.5
 PLAIN = frozenset(".,;:'\"()-?")
 #: Codes of characters: X upper case, x other letters, 9 digits, a blank, ASCII
 #: marks themselves, and ~ for every other mark. Beyond the table all letters are x.
@@ -151,7 +154,7 @@ class LabelModel:
                             mass[v[i]] += n * (p if good else 1 - p)
                     both.append(mass[0] / sum(mass))
                 faults.append((max(both[0], MISS), min(both[1], ALARM)))
-            model = cls((sum(n * p for _, n, p in soft) + 1.6) / (sum(n for _, n, _ in soft) + 2), faults)
+            model = cls(max(LEAST_GOOD, (sum(n * p for _, n, p in soft) + 1.6) / (sum(n for _, n, _ in soft) + 2)), faults)
         return model
 
     def posterior(self, v: tuple[int, ...]) -> float:

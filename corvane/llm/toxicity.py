@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, tune
+from .common import hash_sample, stash, tune
 
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = range(3, 9)
-#: Labelled rows that the model is fitted on, at most; the first by a hash of the id.
+#: Labelled rows that the model is fitted on, about and by a hash of the id; all, if there are fewer.
 SAMPLE = 12_000
 #: Features, at most, and the evidence (chi-squared) and documents that each needs.
 FEATURES, EVIDENCE, SEEN = 1_000, 40.0, 6
@@ -146,7 +146,7 @@ def distinct(telling: list) -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
-    """Fit on at most ``sample`` labelled documents.
+    """Fit on about ``sample`` labelled documents, or on all if there are fewer.
 
     ``labels`` has ``doc_id`` and ``toxic`` (0 or 1; other rows are ignored; if
     an id has several, the largest counts). Grade 0 is a text that is not toxic;
@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
     """
     tune(docs.sparkSession)
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = stash(chosen.orderBy(F.xxhash64("of"), "of").limit(sample), "labelled")
+    chosen = hash_sample(stash(chosen.withColumn("order", F.xxhash64("of")), "labels"), "order", sample).drop("order")
+    chosen = stash(chosen, "labelled")
     # the sample is bounded, so it may go to every executor
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
     counted = texts.select("toxic", "text").mapInArrow(_counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))

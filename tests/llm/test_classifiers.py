@@ -68,7 +68,7 @@ def test_quality_on_labels(spark):
 def test_quality_odd_rows(spark):
     got = q.quality(odd(spark)).collect()
     assert len(got) == odd(spark).count()
-    assert all(r.kept for r in got if r.doc_id in (0, 3, 4, 12, 99))
+    assert all(r.kept for r in got if r.doc_id in (3, 4, 12, 99))
     assert q.quality(empty(spark)).collect() == []
 
 
