@@ -21,8 +21,8 @@ BEGINNINGS = range(3, 9)
 SAMPLE = 12_000
 #: Features, at most, and the evidence (chi-squared) and documents that each needs.
 FEATURES, EVIDENCE, SEEN = 1_000, 40.0, 6
-#: Shares of telling words from which a toxic text is of grade 2 and of grade 3.
-CUTS = (0.01, 0.03)
+#: Telling words from which a toxic text is of grade 2 and of grade 3.
+CUTS = (4, 10)
 GRADES = 4
 #: Words of which one with a feature makes it as dense as counts.
 FULL = 100
@@ -78,44 +78,53 @@ class Severity:
     number: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
+    #: Features that tell of toxic texts.
+    strong: frozenset[int] = frozenset()
 
     def __post_init__(self):
         self.starts = {f[:3] for f in self.number}
         self.short = {f for f in self.number if len(f) < 3}
         self.lengths = sorted({len(f) - 1 for f in self.number if f.endswith("*")})
 
-    def found(self, text: str) -> tuple[dict[int, int], int]:
-        """How many words have each feature, and how many there are."""
+    def found(self, text: str) -> tuple[dict[int, int], int, int]:
+        """How many words have each feature, how many there are, and how many tell."""
         out: dict[int, int] = {}
+        hits = 0
         words = tokens(text)
         for word, count in words.items():
             if word[:3] not in self.starts and word not in self.short:
                 continue
+            tells = False
             for feature in (word, *[word[:n] + "*" for n in self.lengths if n <= len(word)]):
                 i = self.number.get(feature)
                 if i is not None:
                     out[i] = out.get(i, 0) + count
-        return out, sum(words.values())
+                    tells |= i in self.strong
+            hits += count * tells
+        return out, sum(words.values()), hits
 
-    def shares(self, found: list[tuple[dict[int, int], int]]) -> np.ndarray:
+    def shares(self, found: list[tuple[dict[int, int], int, int]]) -> np.ndarray:
         """P(grade) for each text: differences of the cumulative links."""
-        pull = np.array([sum(self.weights[i] * x for i, x in values(f, n, len(self.number)).items()) for f, n in found])
+        pull = np.array([sum(self.weights[i] * x for i, x in values(f, n, len(self.number)).items()) for f, n, _ in found])
         below = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - pull[:, None], -60, 60)))
         return np.diff(np.hstack([np.zeros((len(found), 1)), below, np.ones((len(found), 1))]), axis=1)
 
 
-def fit_links(x: np.ndarray, grades: np.ndarray, steps: int = 400, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_links(x: np.ndarray, grades: np.ndarray, start: np.ndarray | None = None, steps: int = 600, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of largest likelihood. The first threshold is free
-    and the gaps above it are exponentials, so they stay ordered."""
+    and the gaps above it are exponentials, so they stay ordered. ``start`` gives
+    the weights to begin with."""
     last = int(GRADES - 1)
-    p = np.concatenate([np.zeros(x.shape[1]), [1.0], np.zeros(last - 1)])
+    p = np.concatenate([np.zeros(x.shape[1]) if start is None else start, [3.0], np.zeros(last - 1)])
     m, v = np.zeros_like(p), np.zeros_like(p)
     width, n = x.shape[1], len(grades)
     rows = np.arange(n)
+    row, column = np.nonzero(x)  # few texts have few features
+    value = x[row, column].astype(np.float64)
     for step in range(1, steps + 1):
         gaps = np.exp(np.clip(p[width + 1 :], -6, 6))
         cuts = p[width] + np.concatenate([[0.0], np.cumsum(gaps)])
-        pull = x @ p[:width]
+        pull = np.bincount(row, p[column] * value, n)
         s = 1 / (1 + np.exp(-np.clip(cuts[None, :] - pull[:, None], -60, 60)))
         full = np.hstack([np.zeros((n, 1)), s, np.ones((n, 1))])
         likely = np.maximum(full[rows, grades + 1] - full[rows, grades], 1e-12)
@@ -126,7 +135,7 @@ def fit_links(x: np.ndarray, grades: np.ndarray, steps: int = 400, decay: float
         np.add.at(by_cut, grades + 1, high)
         np.add.at(by_cut, grades, -low)
         by_cut = by_cut[1:-1] / n
-        g = np.concatenate([-(x.T @ (high - low)) / n - decay * p[:width], [by_cut.sum()], np.array([by_cut[k:].sum() for k in range(1, last)]) * gaps])
+        g = np.concatenate([-np.bincount(column, (high - low)[row] * value, width) / n - decay * p[:width], [by_cut.sum()], np.array([by_cut[k:].sum() for k in range(1, last)]) * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     gaps = np.exp(np.clip(p[width + 1 :], -6, 6))
@@ -150,8 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
 
     ``labels`` has ``doc_id`` and ``toxic`` (0 or 1; other rows are ignored; if
     an id has several, the largest counts). Grade 0 is a text that is not toxic;
-    toxic ones are of grade 1, 2 or 3 by the share of their words that tell, at
-    the fixed CUTS. Features are those whose documents differ most between toxic
+    toxic ones are of grade 1, 2 or 3 by how many of their words tell, at the fixed
+    CUTS. Features are those whose documents differ most between toxic
     and clean ones; only they, at most FEATURES, reach the driver.
     """
     tune(docs.sparkSession)
@@ -170,17 +179,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
     telling = counted.where(seen >= SEEN).withColumn("odd", odd).where(F.col("odd") >= EVIDENCE).orderBy(F.desc("odd"), "feature").limit(FEATURES).collect()
     telling = distinct(telling)
     number = {r["feature"]: i for i, r in enumerate(telling)}
-    strong = {i for i, r in enumerate(telling) if r["t"] * clean > 4 * r["c"] * toxic}
-    empty = Severity(number, np.zeros(2 * len(number)), np.array([1.0, 2.0, 3.0]))
-    schema = pa.schema([("toxic", pa.int64()), ("words", pa.int64()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+    strong = frozenset(i for i, r in enumerate(telling) if r["t"] * clean > 4 * r["c"] * toxic)
+    empty = Severity(number, np.zeros(2 * len(number)), np.array([1.0, 2.0, 3.0]), strong)
+    schema = pa.schema([("toxic", pa.int64()), ("words", pa.int64()), ("hits", pa.int64()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             found = [empty.found(t) for t in texts]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0).to_pylist(), "words": [n for _, n in found], "at": [list(f) for f, _ in found], "times": [list(f.values()) for f, _ in found]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0).to_pylist(), "words": [n for _, n, _ in found], "hits": [h for _, _, h in found], "at": [list(f) for f, _, _ in found], "times": [list(f.values()) for f, _, _ in found]}, schema=schema)
 
-    rows = texts.select("toxic", "text").mapInArrow(seen_in, "toxic long, words long, at array<int>, times array<int>").collect()  # at most the sample
+    rows = texts.select("toxic", "text").mapInArrow(seen_in, "toxic long, words long, hits long, at array<int>, times array<int>").collect()  # at most the sample
     rows.sort(key=lambda r: (r["toxic"], r["words"], r["at"], r["times"]))
     x = np.zeros((len(rows), 2 * len(number)), dtype=np.float32)
     grades = np.zeros(len(rows), dtype=np.int64)
@@ -188,10 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
         for i, value in values(dict(zip(r["at"], r["times"])), r["words"], len(number)).items():
             x[k, i] = value
         if r["toxic"]:
-            share = max([t for i, t in zip(r["at"], r["times"]) if i in strong], default=0) / max(1, r["words"])
-            grades[k] = 1 + sum(share >= cut for cut in CUTS)
-    weights, thresholds = fit_links(x, grades)
-    return Severity(number, weights, thresholds)
+            grades[k] = 1 + sum(r["hits"] >= cut for cut in CUTS)
+    # each feature's own log odds: texts with many telling words would else never teach
+    # that one of them is enough
+    odds = [math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1)) for r in telling]
+    weights, thresholds = fit_links(x, grades, np.concatenate([np.clip(odds, -3, 6), np.zeros(len(telling))]))
+    return Severity(number, weights, thresholds, strong)
 
 
 def score(docs: DataFrame, model: Severity) -> DataFrame:
