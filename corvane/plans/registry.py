@@ -13,7 +13,7 @@ from ..operators import auth, chunk, embed, evaluate, rerank, retrieve
 from ..sources import documents as docs_source
 from ..sources import store
 from . import sql
-from .session import reachable
+from .session import reachable, spread
 
 #: Scores are compared as they are rounded, so that equal ones are equal in any engine.
 DIGITS = 6
@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as documents; language and source are columns and metadata."""
-    rows = _table(spark, sf_dir, "documents")
+    rows = spread(_table(spark, sf_dir, "documents"))
     return rows.select(
         F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"), "lang", "source", "doc_id",
         F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_uri"),
