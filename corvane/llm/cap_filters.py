@@ -11,164 +11,244 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import join_by_buckets
 from .common import stash, tune
-from .graph import components
-from .groups import by_group
 
-#: Vectors that a filter holds on average, and the most that one block holds.
-FILL, BLOCK_ROWS = 64, 512
 SEED = 64
+#: Vectors that a cap may hold on average, codewords of one part, and trial pairs.
+FILLS, WORDS, TRIALS = (128, 512, 2048), tuple(2**k for k in range(2, 13)), 500
+#: From this many dimensions on, caps are sums of codewords from two halves.
+HALVED = 16
+#: A cap is never narrower than this cosine, or pairs would not fit into one.
+NARROWEST = 0.85
+#: What a choice of codes costs, in seconds: a copy of a sketch sent, a
+#: multiplication, and a codeword compared.
+COPY, PRODUCT, WORD = 1e-5, 3e-11, 1e-9
+_built: dict[tuple, "ProductCode"] = {}
 
 
 def _tail(t: float) -> float:
     return 0.5 * math.erfc(t / math.sqrt(2))
 
 
-def height_for(vectors: int) -> float:
-    """A cap's height, in standard deviations, so that it holds about FILL of
-    ``vectors`` random vectors; the work then grows in proportion to them."""
+def height_for(dim: int, share: float) -> float:
+    """The cosine from which a cap holds about ``share`` of random directions."""
     low, high = 0.0, 12.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if _tail(mid) > min(0.2, FILL / max(1, vectors)) else (low, mid)
-    return low
+        low, high = (mid, high) if _tail(mid) > share else (low, mid)
+    return min(low / math.sqrt(dim), NARROWEST)
 
 
 class ProductCode:
-    """Caps around all sums of a codeword from each of two halves of a rotated space."""
+    """Caps of a rotated space: around codewords, or around all sums of a codeword
+    from each of its two halves."""
 
-    def __init__(self, dim: int, height: float, words: int, number: int):
+    def __init__(self, dim: int, least: float, words: int, number: int):
+        self.made_of = dim, least, words, number
         rng = np.random.default_rng([SEED, dim, words, number])
-        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.cut = (dim + 1) // 2
-        self.words, self.least = words, height / math.sqrt(dim)
+        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32)
+        self.cut = dim if dim < HALVED else (dim + 1) // 2
+        self.words, self.least = words, least
         self.first = self._words(rng, words, self.cut) * math.sqrt(self.cut / dim)
         self.second = self._words(rng, words, dim - self.cut) * math.sqrt(1 - self.cut / dim)
-        self.tag = (dim << 46) + (number << 32)
+        # a hash of the length and the number keeps caps of different codes apart
+        self.tag = int.from_bytes(hashlib.blake2b(f"{dim} {number}".encode(), digest_size=8).digest(), "little") >> 1 & ~((1 << 26) - 1)
+
+    def __reduce__(self):
+        # a task gets the numbers, and its process builds each code once
+        return _code, self.made_of
 
     @staticmethod
     def _words(rng: np.random.Generator, count: int, dim: int) -> np.ndarray:
-        x = rng.standard_normal((count, dim))
-        return x / np.linalg.norm(x, axis=1, keepdims=True) if dim else x
+        x = rng.standard_normal((count, dim)) if dim else np.zeros((1, 0))
+        return (x / np.linalg.norm(x, axis=1, keepdims=True) if dim else x).astype(np.float32)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers, and ids of the caps that hold them: only first codewords
-        that the best second one lifts to the height are looked into."""
-        x = unit @ self.turn
+        """Row numbers, and ids of the caps that hold them: of each half, only
+        codewords that the other's best one lifts to the height are combined."""
+        x = unit.astype(np.float32) @ self.turn
         one, two = x[:, : self.cut] @ self.first.T, x[:, self.cut :] @ self.second.T
-        row, a = np.nonzero(one + two.max(1, keepdims=True) >= self.least)
-        hit, b = np.nonzero(one[row, a][:, None] + two[row] >= self.least)
-        return row[hit], self.tag + a[hit] * self.words + b
-
-
-def codes_for(dim: int, vectors: int, threshold: float, recall: float, trials: int = 1000) -> list[ProductCode]:
-    """Independent codes in which two vectors whose cosine is ``threshold`` share
-    a cap with a probability of about ``recall``. The miss rate of one code is
-    simulated on random pairs; its size doubles until that is at most 0.9."""
-    height, words = height_for(vectors), 32
-    rng = np.random.default_rng([SEED, dim])
-    x, z = rng.standard_normal((2, trials, dim))
+        row, a = np.nonzero(one >= self.least - two.max(1, keepdims=True))
+        other, b = np.nonzero(two >= self.least - one.max(1, keepdims=True))
+        if not len(row):
+            return row, a
+        # each first codeword meets the second ones of its row
+        starts, counts = np.searchsorted(other, row), np.bincount(other, minlength=len(unit))[row]
+        pick = np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        row, a, b = np.repeat(row, counts), np.repeat(a, counts), b[pick]
+        hit = one[row, a] + two[row, b] >= self.least
+        return row[hit], self.tag + a[hit] * len(self.second) + b[hit]
+
+
+def _code(*made_of) -> ProductCode:
+    if made_of not in _built:
+        _built[made_of] = ProductCode(*made_of)
+    return _built[made_of]
+
+
+def pairs_at(dim: int, cosine: float, count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random directions, and for each another one at this cosine."""
+    x, z = np.random.default_rng([SEED, dim, seed]).standard_normal((2, count, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
-    y = threshold * x + math.sqrt(1 - threshold**2) * z if dim > 1 else x
-    while True:
-        code = ProductCode(dim, height, words, 0)
-        (i, a), (j, b) = code.decode(x), code.decode(y)
-        met = set(zip(i.tolist(), a.tolist())) & set(zip(j.tolist(), b.tolist()))
-        missed = max(1 - len({i for i, _ in met}) / trials, 1 / trials)
-        if missed <= 0.9:
-            return [ProductCode(dim, height, words, k) for k in range(math.ceil(math.log(1 - recall) / math.log(missed)))]
-        words *= 2
+    return x, cosine * x + math.sqrt(1 - cosine**2) * z if dim > 1 else x
 
 
-def _raw(values, kind: type) -> bytes | None:
-    """A vector's components as bytes; None for what links with nothing."""
-    if values is None or not len(values) or any(v is None for v in values):
-        return None
-    x = np.array(values, dtype=kind)
-    return x.tobytes() if np.isfinite(x).all() and x.any() else None
+def _tried(dim: int, least: float, words: int, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
+    """Shares of pairs that two codes miss, and caps of a vector in one."""
+    missed, caps = 0.0, 0.0
+    for number in (0, 1):
+        (i, a), (j, b) = (ProductCode(dim, least, words, number).decode(x) for x in pairs)
+        met = set(zip(i.tolist(), a.tolist())) & set(zip(j.tolist(), b.tolist()))
+        missed += 1 - len({i for i, _ in met}) / TRIALS
+        caps += len(i) / TRIALS
+    return max(missed / 2, 0.5 / TRIALS), caps / 2
+
 
+def codes_for(dim: int, vectors: int, threshold: float, recall: float) -> list[ProductCode]:
+    """Independent codes in which two vectors whose cosine is ``threshold`` share
+    a cap with a probability of about ``recall``.
 
-def _units(raw: list[bytes], kind: type) -> np.ndarray:
-    """Directions in double precision, of vectors of equal length."""
-    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
+    For each load of a cap and each number of codewords the miss rate of a code
+    and the caps of a vector are simulated on random pairs at the threshold; what
+    costs least is taken. The tries are few whatever the number of vectors, and
+    wide caps, which miss nothing, are always among them.
+    """
+    pairs = pairs_at(dim, threshold, TRIALS, 0)
+    best = None
+    for fill in FILLS:
+        least = height_for(dim, min(0.25, fill / max(1, vectors)))
+        share = max(fill / max(1, vectors), float(np.mean(pairs[0][:, 0] >= least)) if least == NARROWEST else 0.0)
+        for words in WORDS:
+            missed, caps = _tried(dim, least, words, pairs)
+            if missed > 0.97:
+                continue
+            number = math.ceil(math.log(1 - recall) / math.log(missed))
+            cost = number * (caps * (COPY + share * vectors * dim * PRODUCT) + 2 * words * (WORD + dim * PRODUCT / 2) + dim**2 * PRODUCT)
+            if best is None or cost < best[0]:
+                best = (cost, least, words, number)
+            if caps > 4:
+                break
+    if best is None:  # all caps are too narrow: one that holds everything
+        return [ProductCode(dim, -2.0, 1, 0)]
+    # what the tries promise is measured on other pairs, and codes are added until it holds
+    one, two = pairs_at(dim, threshold, 4 * TRIALS, 1)
+    codes, missed = [], np.ones(4 * TRIALS, dtype=bool)
+    while len(codes) < best[3] or missed.mean() > (1 - recall) / 2:
+        codes.append(ProductCode(dim, best[1], best[2], len(codes)))
+        left = np.flatnonzero(missed)
+        if len(left):
+            (i, a), (j, b) = codes[-1].decode(one[left]), codes[-1].decode(two[left])
+            missed[left[[k for k, _ in set(zip(i.tolist(), a.tolist())) & set(zip(j.tolist(), b.tolist()))]]] = False
+    return codes
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Directions in double precision."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _matrix(raw: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1)
+
+
+def _rows(lists: pa.ListArray, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of each length: their places, and a matrix of them; none that is
+    null, empty, zero, or holds what is null or not finite."""
+    flat = lists.values
+    offsets = lists.offsets.to_numpy()
+    numbers = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(kind)
+    valid = ~lists.is_null().to_numpy(zero_copy_only=False)
+    lengths = np.where(valid, np.diff(offsets), 0)
+    for size in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero(lengths == size)
+        x = numbers[offsets[at][:, None] + np.arange(size)]
+        good = np.isfinite(x).all(1) & x.any(1)
+        if good.any():
+            yield at[good], x[good]
+
+
 def _read(kind: type):
     schema = pa.schema([("vec_id", pa.int64()), ("key", pa.binary()), ("raw", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [_raw(v, kind) for v in batch.column(1).to_pylist()]
-            keys = [None if r is None else hashlib.blake2b(_units([r], kind).tobytes(), digest_size=16).digest() for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], schema=schema)
+            keys: list[bytes | None] = [None] * batch.num_rows
+            raws: list[bytes | None] = [None] * batch.num_rows
+            for at, x in _rows(batch.column(1), kind):
+                for i, unit, raw in zip(at.tolist(), _units(x) + 0.0, x):  # + 0.0 makes -0 a 0
+                    keys[i], raws[i] = hashlib.blake2b(unit.tobytes(), digest_size=16).digest(), raw.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], schema=schema)
 
     return run
 
 
-def _decoded(raw: list[bytes], kind: type, codes: dict[int, list[ProductCode]]) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers, and ids of the caps that hold them, of vectors of equal length."""
-    units = _units(raw, kind)
-    found = [code.decode(units) for code in codes[units.shape[1]]]
-    return tuple(np.concatenate(x) for x in zip(*found))
+def sketches(units: np.ndarray) -> np.ndarray:
+    """Rows of bytes: a scale, the length of what rounding loses, and each
+    component rounded to one of 15 steps, two a byte."""
+    scale = np.abs(units).max(1, keepdims=True) / 7
+    steps = np.rint(units / scale)
+    # the bound is rounded up to what single precision holds
+    lost = np.nextafter((np.linalg.norm(units - steps.astype(np.float32) * scale.astype(np.float32), axis=1, keepdims=True) * (1 + 1e-6) + 1e-9).astype(np.float32), np.float32(4))
+    half = (steps + 8).astype(np.uint8)
+    if half.shape[1] % 2:
+        half = np.hstack([half, np.full((len(half), 1), 8, dtype=np.uint8)])
+    head = np.hstack([scale.astype(np.float32), lost]).view(np.uint8)
+    return np.hstack([head, half[:, ::2] << 4 | half[:, 1::2]])
 
 
-def _capped(codes: dict[int, list[ProductCode]], kind: type):
-    schema = pa.schema([("cap", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("raw", pa.binary())])
+def _rough(sketch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    x = _matrix(sketch, np.uint8)
+    head, body = np.ascontiguousarray(x[:, :8]).view(np.float32), x[:, 8:]
+    steps = np.stack([body >> 4, body & 15], axis=2).reshape(len(x), -1).astype(np.float32) - 8
+    return steps * head[:, :1], head[:, 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            reps, counts, raw = (batch.column(i).to_pylist() for i in range(3))
-            for size in sorted({len(r) for r in raw}):
-                who = [i for i, r in enumerate(raw) if len(r) == size]
-                rows, caps = _decoded([raw[i] for i in who], kind, codes)
-                for start in range(0, len(rows), 10_000):
-                    at = [who[i] for i in rows[start : start + 10_000].tolist()]
-                    yield pa.RecordBatch.from_pydict({"cap": caps[start : start + 10_000], "rep": [reps[i] for i in at], "n": [counts[i] for i in at], "raw": [raw[i] for i in at]}, schema=schema)
+
+def likely(threshold: float):
+    """Whether rounded vectors are so near that their vectors may reach the threshold."""
+
+    def run(one: list[bytes], two: list[bytes]) -> np.ndarray:
+        a, lost_a = _rough(one)
+        b, lost_b = (a, lost_a) if one is two else _rough(two)
+        slack = lost_a[:, None] + (1 + lost_a[:, None]) * lost_b[None, :]
+        return a @ b.T >= threshold - slack - 1e-4
 
     return run
 
 
-def _verified(threshold: float, codes: dict[int, list[ProductCode]], kind: type):
-    """Links of two blocks of a cap, without those that an earlier cap has too. Only
-    for vectors that have links here are their other caps decoded again."""
-
-    def run(rows: dict[str, list]) -> dict[str, list] | None:
-        reps = np.array(rows["rep"], dtype=np.int64)
-        if len(reps) < 2:
-            return None
-        units = _units(rows["raw"], kind)
-        near = units @ units.T >= threshold
-        np.fill_diagonal(near, False)
-        if rows["bi"][0] != rows["bj"][0]:
-            own = np.array(rows["own"])
-            near &= own[:, None] != own[None, :]
-        hit = np.flatnonzero(near.any(1))
-        if not len(hit):
-            return None
-        near = near[np.ix_(hit, hit)]
-        who, caps = _decoded([rows["raw"][i] for i in hit], kind, codes)
-        before = caps < rows["cap"][0]
-        who, (ids, places) = who[before], np.unique(caps[before], return_inverse=True)
-        met = np.zeros((len(hit), len(hit)), dtype=np.float32)
-        for start in range(0, len(ids), 4096):
-            part = (places >= start) & (places < start + 4096)
-            member = np.zeros((len(hit), 4096), dtype=np.float32)
-            member[who[part], places[part] - start] = 1
-            met += member @ member.T
-        near &= met == 0
-        links = near @ np.array(rows["n"], dtype=np.int64)[hit]
-        label = reps[hit]
-        while True:
-            least = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(1))
-            if (least == label).all():
-                break
-            label = least
-        some = np.flatnonzero(links)
-        return {"rep": reps[hit][some].tolist(), "links": links[some].tolist(), "root": label[some].tolist()} if len(some) else None
+def near(threshold: float, kind: type):
+    """Whether cosines in double precision reach the threshold."""
+
+    def run(one: list[bytes], two: list[bytes]) -> np.ndarray:
+        a = _units(_matrix(one, kind))
+        return a @ (a if one is two else _units(_matrix(two, kind))).T >= threshold
+
+    return run
+
+
+def _capped(codes: dict[int, list[ProductCode]], kind: type, names: list[str]):
+    """Adds each vector's caps and sketch."""
+    place = names.index("raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(place).to_pylist()
+            caps: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(raw)
+            rough: list[bytes] = [b""] * len(raw)
+            for size in sorted({len(r) for r in raw}):
+                who = [i for i, r in enumerate(raw) if len(r) == size]
+                units = _units(_matrix([raw[i] for i in who], kind))
+                found = [code.decode(units) for code in codes[units.shape[1]]]
+                row, cap = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(row, kind="stable")
+                parts = np.split(cap[order], np.searchsorted(row[order], np.arange(1, len(who))))
+                for i, own, line in zip(who, parts, sketches(units)):
+                    caps[i], rough[i] = own, line.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(caps, pa.list_(pa.int64())), pa.array(rough, pa.binary())], names=[*names, "buckets", "sketch"])
 
     return run
 
@@ -181,15 +261,16 @@ def cap_join(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.999)
     is the row's own), one row for each row of ``vectors``.
 
     Equal directions are one class, which is weighed and not expanded. Each
-    class is list-decoded to all caps that hold it; a cap with many vectors is
-    cut into blocks of bounded size and each two blocks meet in one task, which
-    checks cosines in double precision and returns counts and a spanning forest,
-    not pairs. A pair counts in the first cap that it shares.
+    class is list-decoded once to all caps that hold it. Vectors that share a cap
+    are compared: first rounded to half a byte a component, with a bound that loses
+    nothing, then, where that leaves a link possible, in double precision, each
+    pair in the first cap that it shares (see ``join_by_buckets``).
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, as do rows with a null id (whose ids stay null). Vectors
-    of different lengths never link. Repeated rows are copies of each other.
-    Other columns are ignored. An empty table gives an empty result.
+    of different lengths never link. Repeated rows are copies of each other; rows
+    that share an id are one node of the components. Other columns are ignored.
+    An empty table gives an empty result.
     """
     tune(vectors.sparkSession)
     kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
@@ -197,26 +278,16 @@ def cap_join(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.999)
     read = stash(wide.mapInArrow(_read(kind), "vec_id long, key binary, raw binary"), "vectors")
     valid = F.col("vec_id").isNotNull() & F.col("key").isNotNull()
     classes = stash(read.where(valid).groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw")), "directions")
-    lengths = classes.groupBy((F.octet_length("raw") / np.dtype(kind).itemsize).cast("int").alias("dim")).count().collect()  # a row a vector length
+    size = F.octet_length("raw")
+    lengths = classes.groupBy((size / np.dtype(kind).itemsize).cast("int").alias("dim")).count().collect()  # a row a vector length
     codes = {r["dim"]: codes_for(r["dim"], r["count"], threshold, recall) for r in lengths}
-    held = classes.select("rep", "n", "raw").mapInArrow(_capped(codes, kind), "cap long, rep long, n long, raw binary")
-    large = stash(held.groupBy("cap").count().where(F.col("count") > BLOCK_ROWS).select(F.col("cap").alias("full"), F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "caps")
-    placed = (
-        held.join(large, F.col("cap") == F.col("full"), "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cap", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "rep", "n", "raw")
-    )
-    links = stash(by_group(placed, ["cap", "bi", "bj"], _verified(threshold, codes, kind), "rep long, links long, root long", pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])), "links")
-    groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    told = stash(
-        classes.select(F.col("key").alias("class_key"), "rep", "n")
-        .join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
-        .join(groups, F.col("rep") == F.col("node"), "left")
-        .select("class_key", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")),
-        "directions-told",
-    )
+    rows = classes.select("key", "rep", "n", size.cast("long").alias("weight"), "raw")
+    capped = rows.mapInArrow(_capped(codes, kind, rows.columns), "key binary, rep long, n long, weight long, raw binary, buckets array<long>, sketch binary")
+
+    def with_raw(going: DataFrame) -> DataFrame:
+        return going.join(classes.select(F.col("key").alias("of"), F.col("raw").alias("data")), F.col("key") == F.col("of")).drop("of")
+
+    told = join_by_buckets(stash(capped.drop("raw"), "capped"), likely(threshold), with_raw, near(threshold, kind))
     own = read.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("key")).alias("key")).join(told, F.col("key") == F.col("class_key"), "left")
     component = F.coalesce("component", "vec_id")
     return own.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -13,13 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import join_by_buckets
 from .common import stash, tune
-from .graph import components
-from .groups import by_group
 
 WORD = re.compile(r"\w+")
-#: Members and shingles of one block; two blocks are compared in one task.
-BLOCK_ROWS, BLOCK_SHINGLES = 128, 200_000
+#: Bytes of a sketch, and by how many standard deviations a pair at the threshold
+#: may fall short of it there: of 30,000 such pairs one does by more.
+PLACES, DEVIATIONS = 256, 4.0
 #: Words whose hashes a worker remembers.
 CACHE = 500_000
 _seen: dict[str, int] = {}
@@ -90,8 +90,36 @@ def signature(found: np.ndarray, bands: int, rows: int) -> list[int]:
     return out.view(np.int64).tolist()
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """One byte for each of PLACES ranges of hashes: 0 if the set has none there,
+    else a digest of the smallest one."""
+    starts = np.searchsorted(found, np.arange(PLACES, dtype=np.uint64) * _U(2**64 // PLACES))
+    out = np.zeros(PLACES, dtype=np.uint8)
+    some = np.flatnonzero(np.diff(starts, append=len(found)))
+    out[some] = 1 + found[starts[some]] % _U(255)
+    return out.tobytes()
+
+
+def likely(threshold: float):
+    """Whether sketches agree as often as those of sets at ``threshold`` do, less
+    DEVIATIONS standard deviations."""
+
+    def run(one: list[bytes], two: list[bytes]) -> np.ndarray:
+        a = np.frombuffer(b"".join(one), dtype=np.uint8).reshape(len(one), PLACES)
+        b = a if one is two else np.frombuffer(b"".join(two), dtype=np.uint8).reshape(len(two), PLACES)
+        either = PLACES - (a == 0).astype(np.float32) @ (b == 0).astype(np.float32).T
+        least = threshold * either - DEVIATIONS * np.sqrt(threshold * (1 - threshold) * either)
+        out = np.empty(either.shape, dtype=bool)
+        for i in range(len(a)):
+            some = np.flatnonzero(a[i])
+            out[i] = (b[:, some] == a[i, some]).sum(1) >= least[i]
+        return out
+
+    return run
+
+
 def _signatures(n: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_shingles", pa.int32()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,9 +127,10 @@ def _signatures(n: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([_key(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([signature(s, bands, rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([sketch(s) for s in sets], pa.binary()),
                 ],
                 schema=schema,
             )
@@ -109,52 +138,54 @@ def _signatures(n: int, bands: int, rows: int):
     return run
 
 
-def _linked(n: int, threshold: float):
-    """Links between the members of two blocks (or within one), by full sets."""
-
-    def run(rows: dict[str, list]) -> dict[str, list] | None:
-        reps, weights, own, sets = [], [], [], []
-        met = set()
-        for rep, key, weight, side, text in zip(rows["rep"], rows["key"], rows["n"], rows["own"], rows["text"]):
-            found = shingles((text or b"").decode("utf-8", "replace"), n)
-            if rep in met or hashlib.blake2b(found.tobytes(), digest_size=16).digest() != bytes(key):
-                continue  # a repeated row
-            met.add(rep)
-            reps.append(rep)
-            weights.append(weight)
-            own.append(side)
-            sets.append(found)
-        if len(reps) < 2:
-            return None
-        sizes = np.array([len(s) for s in sets])
-        ids, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = np.cumsum(counts > 1) - 1
+def _key(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def _sets(n: int, names: list[str]):
+    """Replaces texts by their sets, and leaves out rows that are not of the class
+    (their id is that of another text too) or repeat it."""
+    place, text = names.index("key"), names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
+        for batch in batches:
+            keep, sets = [], []
+            for key, t in zip(batch.column(place).to_pylist(), batch.column(text).to_pylist()):
+                found = None if key in told else shingles((t or b"").decode("utf-8", "replace"), n)
+                keep.append(found is not None and _key(found) == key)
+                if keep[-1]:
+                    told.add(key)
+                    sets.append(found.tobytes())
+            left = batch.filter(pa.array(keep, pa.bool_()))
+            columns = [pa.array(sets, pa.binary()) if i == text else left.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names[:text], "data", *names[text + 1 :]])
+
+    return run
+
+
+def near(threshold: float):
+    """Whether the Jaccard similarity of two sets is at least ``threshold``."""
+
+    def run(one: list[bytes], two: list[bytes]) -> np.ndarray:
+        every = [np.frombuffer(x, dtype=np.uint64) for x in (one if one is two else one + two)]
+        sizes = np.array([len(s) for s in every])
+        _, places, counts = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+        number = np.cumsum(counts > 1) - 1
         keep = (counts > 1)[places]
-        who, what = np.repeat(np.arange(len(reps)), sizes)[keep], shared[places][keep]
-        common = np.zeros((len(reps), len(reps)), dtype=np.float32)
+        who, what = np.repeat(np.arange(len(every)), sizes)[keep], number[places][keep]
         order = np.argsort(what, kind="stable")
         who, what = who[order], what[order]
-        step = 4096
-        for start in range(0, int(what[-1]) + 1 if len(what) else 0, step):
-            lo, hi = np.searchsorted(what, (start, start + step))
-            dense = np.zeros((len(reps), step), dtype=np.float32)
-            dense[who[lo:hi], what[lo:hi] - start] = 1
-            common += dense @ dense.T
-        union = sizes[:, None] + sizes[None, :] - common
-        near = common >= threshold * union - 1e-9
-        np.fill_diagonal(near, False)
-        sides = np.array(own)
-        if rows["bi"][0] != rows["bj"][0]:
-            near &= sides[:, None] != sides[None, :]  # pairs within a block are met once, elsewhere
-        links = near @ np.array(weights, dtype=np.int64)
-        label = np.array(reps, dtype=np.int64)
-        while True:
-            least = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(1))
-            if (least == label).all():
-                break
-            label = least
-        hit = np.flatnonzero(links)
-        return {"rep": np.array(reps)[hit].tolist(), "links": links[hit].tolist(), "root": label[hit].tolist()}
+        last = int(what[-1]) + 1 if len(what) else 0
+        width, first = min(4096, max(1, last)), len(one)
+        common = np.zeros((first, len(two)), dtype=np.float32)
+        for start in range(0, last, width):
+            low, high = np.searchsorted(what, (start, start + width))
+            dense = np.zeros((len(every), width), dtype=np.float32)
+            dense[who[low:high], what[low:high] - start] = 1
+            common += dense[:first] @ (dense if one is two else dense[first:]).T
+        union = sizes[:first, None] + (sizes if one is two else sizes[first:])[None, :] - common
+        return common >= threshold * union - 1e-9
 
     return run
 
@@ -168,68 +199,39 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     ``kept``, whether this is that document.
 
     Equal n-gram sets are one class, which is weighed, never expanded into
-    pairs. Classes that share a band hash are candidates; a component of
-    candidates is cut into blocks of bounded size, and each two blocks meet in
-    one task that compares full n-gram sets and returns counts and a spanning
-    forest, not pairs. A pair at the threshold is found with probability
-    ``recall`` or more, all found pairs are exact.
+    pairs. Classes that share a band hash are compared: first by sketches of 256
+    bytes, then, where those agree, by full n-gram sets, each pair in the first
+    band hash that it shares (see ``join_by_buckets``). A pair at the threshold is
+    found with probability ``recall`` or more, all found pairs are exact.
 
     Nulls and edge cases: a null text counts as empty; texts without words link
     with nothing; a row with a null id links with nothing and has null ids.
-    Repeated rows count as copies of each other. Columns beside ``doc_id`` and
+    Repeated rows count as copies of each other; rows that share an id are one
+    node of the groups, whatever their texts. Very long texts are taken whole;
+    one text's set must fit into a task's memory. Columns beside ``doc_id`` and
     ``text`` are ignored. An empty table gives an empty result.
     """
     tune(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sig = stash(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, key binary, n_shingles int, bands array<long>"), "signatures")
-    classes = stash(
-        sig.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-        .groupBy("key")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")),
-        "classes",
-    )
-    entries = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = stash(entries.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last"), "buckets")
-    candidates = components(entries.join(buckets.select("bucket", "lead"), "bucket").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-
-    members = stash(classes.select("rep", "key", "n", "n_shingles").join(candidates, F.col("rep") == F.col("node")).drop("node"), "members")
-    blocks = stash(
-        members.groupBy("component").agg(
-            F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks")
-        ),
-        "blocks",
+    sig = stash(base.mapInArrow(_signatures(n, bands, rows), "doc_id long, key binary, n_shingles int, bands array<long>, sketch binary"), "signatures")
+    usable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    # everything but the id and the count is the same in all rows of a class
+    classes = sig.where(usable).groupBy("key").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("n_shingles").cast("long").alias("weight"), F.first("bands").alias("buckets"), F.first("sketch").alias("sketch")
     )
-    placed = (
-        members.join(blocks, "component")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .select("rep", "key", "n", "component", "own", "blocks")
-    )
-    with_text = placed.join(base, F.col("rep") == F.col("doc_id")).drop("doc_id")
-    pairs = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep", "key", "n", "own", "text"
-    )
-    links = stash(
-        by_group(
-            pairs, ["component", "bi", "bj"], _linked(n, threshold), "rep long, links long, root long",
-            pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]),
-        ),
-        "links",
-    )
-    groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counted = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    told = stash(
-        classes.select("key", "rep", "n")
-        .join(counted, "rep", "left")
-        .join(groups, F.col("rep") == F.col("node"), "left")
-        .select(F.col("key").alias("class_key"), "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("group_id")),
-        "classes-told",
-    )
-    rows_in = sig.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("key")).alias("key"))
+
+    def with_sets(going: DataFrame) -> DataFrame:
+        joined = going.join(base, F.col("rep") == F.col("doc_id")).select("key", "rep", "n", "mine", "where", "text")
+        return joined.mapInArrow(_sets(n, joined.columns), "key binary, rep long, n long, mine array<long>, where array<struct<bucket:long,blocks:int>>, data binary")
+
+    told = join_by_buckets(stash(classes, "classes"), likely(threshold), with_sets, near(threshold))
+    rows_in = sig.select("doc_id", F.when(usable, F.col("key")).alias("key"))
+    group = F.coalesce("component", "doc_id")
     return rows_in.join(told, F.col("key") == F.col("class_key"), "left").select(
         "doc_id",
         F.coalesce("rep", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        F.coalesce("group_id", "doc_id").alias("group_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("group_id", "doc_id"), F.lit(True)).alias("kept"),
+        group.alias("group_id"),
+        F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"),
     )

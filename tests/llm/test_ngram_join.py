@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import random
 
-from corvane.llm.ngram_join import bands_for, ngram_join, shingles
+import numpy as np
+from pyspark.sql import functions as F
+
+from corvane.llm import buckets
+from corvane.llm.ngram_join import bands_for, likely, ngram_join, shingles, sketch
 
 from .helpers import WORDS, empty, odd
 
@@ -45,9 +49,8 @@ def test_equals_brute_force(spark):
 
 
 def test_blocks_give_the_same(spark, monkeypatch):
-    from corvane.llm import ngram_join as module
-
-    monkeypatch.setattr(module, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(buckets, "SKETCH_ROWS", 8)
+    monkeypatch.setattr(buckets, "EXACT_ROWS", 4)
     rows = near_copies(2, 3, 30)
     got = {r.doc_id: (r.n_links, r.group_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
@@ -73,3 +76,52 @@ def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.999), (0.5, 0.95), (0.9, 0.9999)):
         bands, rows = bands_for(threshold, recall)
         assert 1 - (1 - threshold**rows) ** bands >= recall
+
+
+def boilerplate(texts: int) -> list[tuple[int, str]]:
+    """Texts whose pairs have a similarity of about one half."""
+    rng = random.Random(3)
+    shared = " ".join(rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(200))
+    return [(i, shared + " " + " ".join(f"own{i}w{k}" for k in range(98))) for i in range(texts)]
+
+
+def test_boilerplate_goes_no_further_than_sketches(spark, monkeypatch):
+    """Full sets are asked for only where sketches agree."""
+    asked = []
+    plain = buckets.join_by_buckets
+
+    def spied(members, likely, exact, near):
+        def counted(going):
+            asked.append(going.select(F.sum(F.size("where"))).first()[0] or 0)
+            return exact(going)
+
+        return plain(members, likely, counted, near)
+
+    from corvane.llm import ngram_join as module
+
+    monkeypatch.setattr(module, "join_by_buckets", spied)
+    monkeypatch.setattr(buckets, "SKETCH_ROWS", 64)
+    rows = boilerplate(600) + [(1000, boilerplate(1)[0][1] + " end")]
+    got = {r.doc_id: (r.n_links, r.group_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (1, 0) and got[1000] == (1, 0)
+    assert sum(n for n, _ in got.values()) == 2
+    assert asked[0] <= 30
+
+
+def test_sketches_spare_pairs_at_the_threshold():
+    rng = np.random.default_rng(4)
+    lost = 0
+    for size in (9, 45, 180, 900, 9000):
+        pairs = []
+        for _ in range(100):
+            both, other = rng.integers(0, 2**63, size * 8 // 9, dtype=np.uint64), rng.integers(0, 2**63, (2, size // 9), dtype=np.uint64)
+            pairs.append([sketch(np.unique(np.concatenate([both, x]))) for x in other])
+        lost += int((~np.diag(likely(0.8)([a for a, _ in pairs], [b for _, b in pairs]))).sum())
+    assert lost <= 1
+
+
+def test_rows_that_share_an_id_and_not_a_text(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, one), (1, two), (2, two + " end"), (3, one + " end"), (4, three)]
+    got = sorted((r.doc_id, r.n_links, r.group_id, r.kept) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
