@@ -17,7 +17,7 @@ from .licenses import license_scan
 from .media_columns import media_columns
 from .mixing import mix
 from .ngram_join import ngram_join
-from .pii import digest, find_pii
+from .pii import BASE, digest, find_pii
 from .quality import quality
 from .sharding import shard
 from .toxicity import toxicity
@@ -33,6 +33,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of ``op2_pii``: the base spans of all documents."""
+    return op2_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in BASE], "base_sha256")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and blocks in all documents."""
     return license_scan(table(spark, sf_dir, "documents"))
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_pii": op2_pii,
+        "pii_base": pii_base,
         "op3_license_scan": op3_license_scan,
         "op4_cap_filters": op4_cap_filters,
         "op5_sharding": op5_sharding,

@@ -119,8 +119,40 @@ SELECT doc_id, size, source_size, target,
 FROM o
 """
 
+#: The plain patterns of the base kinds, and what a match must also meet.
+PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_bool_and([coalesce(try_cast(p AS HUGEINT) <= 255, false) FOR p IN string_split(m, '.')])"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "len(digits) BETWEEN 16 AND 19 AND list_sum([CASE WHEN i % 2 = 1 THEN v WHEN v > 4 THEN 2 * v - 9 ELSE 2 * v END FOR v, i IN [x::INT FOR x IN string_split(reverse(digits), '') IF x <> '']]) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "len(digits) BETWEEN 8 AND 15"),
+}
+
+
+def _base_spans() -> str:
+    """Spans of each kind from what stands between the matches."""
+    kinds = " UNION ALL ".join(
+        f"SELECT k, {order} AS o, '{kind}' AS kind, s, s + len(m) AS e FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM ("
+        f"SELECT k, found[i] AS m, list_sum([len(x) FOR x IN gaps[1:i]]) + coalesce(list_sum([len(x) FOR x IN found[1:i - 1]]), 0) AS s FROM ("
+        f"SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT k, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS gaps FROM d)))) WHERE {test}"
+        for order, (kind, (pattern, test)) in enumerate(PLAIN.items())
+    )
+    counts = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in PLAIN)
+    sums = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in PLAIN)
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  {kinds}
+), a AS (
+  SELECT k, {sums}, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY o, s) AS told FROM m GROUP BY k
+)
+SELECT doc_id, {counts}, sha256(coalesce(told, '')) AS base_sha256 FROM d LEFT JOIN a USING (k)
+"""
+
+
 ORACLES = {
     "op1_ngram_join": NEAR,
+    "pii_base": _base_spans(),
     "op3_license_scan": LICENSES,
     "op4_cap_filters": CAPS,
     "op5_sharding": SHARDS,
