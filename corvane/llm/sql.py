@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import LOWER, PHRASES, TEMPLATES, UPPER
+from .licenses import LOWER, PHRASES, TEMPLATES, UPPER, prepared
 
 #: A uniform 60-bit number from an id; the seed is the operator's.
 KEY = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{seed}'), 1, 15) AS BIGINT)"
@@ -50,9 +50,9 @@ FROM documents d LEFT JOIN n ON n.a = d.doc_id LEFT JOIN c ON c.a = d.doc_id
 
 
 def _licenses() -> str:
-    """Every window of words held against every template."""
-    longest = max(len(t.split()) for _, t in TEMPLATES)
-    templates = ", ".join(f"('{label}', {sorted(set(t.split()))}, {len(set(t.split()))})" for label, t in TEMPLATES)
+    """Every block of words held against every template."""
+    ready = prepared(TEMPLATES, 0.8)
+    templates = ", ".join(f"('{t.label}', {sorted(t.tokens)}, {len(t.tokens)}, {t.need}, {t.length}, {t.step}, {sorted(t.must)}::VARCHAR[], {sorted(t.without)}::VARCHAR[], {sorted(t.own)}::VARCHAR[])" for t in ready)
     places = []
     for phrase, label in PHRASES.items():
         test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
@@ -62,10 +62,11 @@ WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), p AS (
   {" UNION ALL ".join(places)}
-), t(label, tokens, n) AS (VALUES {templates}), b AS (
-  SELECT k, list_distinct(w[i + 1:i + {2 * longest}]) AS b FROM (SELECT k, w, unnest(range(0, len(w) + 1, {longest})) AS i FROM d)
+), t(label, tokens, n, need, length, step, must, without, own) AS (VALUES {templates}), b AS (
+  SELECT k, label, tokens, n, need, must, without, own, list_distinct(w[i + 1:i + length]) AS b
+  FROM (SELECT k, w, t.*, unnest(range(0, len(w), step)) AS i FROM d, t WHERE len(list_intersect(w, tokens)) >= need)
 ), m AS (
-  SELECT k, label, len(list_intersect(b, tokens)) / n AS held FROM b, t WHERE len(list_intersect(b, tokens)) >= ceil(0.8 * n - 0.000000001)
+  SELECT k, label, len(list_intersect(b, tokens)) / n AS held FROM b WHERE len(list_intersect(b, tokens)) >= need AND list_has_all(b, must) AND NOT list_has_any(b, without) AND (len(own) = 0 OR list_has_any(b, own))
 ), x AS (
   SELECT k, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word FROM p GROUP BY k
 ), y AS (
