@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 ARROW_ROWS = 512
-#: Used only where ``spark.checkpoint.dir`` is unset, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -28,8 +27,17 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share.
+
+    Where none is set, a local session, whose executors are the driver, uses a
+    temporary folder; on a cluster that would lose data, so it is refused.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{tempfile.gettempdir()}/corvane-checkpoints"
+    return path.rstrip("/")
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -55,8 +63,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, order: str, size: int) -> DataFrame:
-    """The rows whose 64-bit hash in ``order`` is below the share that gives about
-    ``size`` rows: all of them if there are no more, and never twice as many unless
-    hashes repeat. A filter, so nothing is sorted or gathered."""
-    n = df.count()
-    return df if n <= size else df.where(F.col(order) < F.lit(int(-(2**63) + 2**64 * (size / n))))
+    """Different rows, about ``size`` of them, or all if there are no more.
+
+    ``order`` is a 64-bit hash of whatever tells rows apart; rows that have the
+    same are one. Those below the share that gives ``size`` stay, and the
+    smallest one whatever the share, so a table that has rows is never sampled
+    to nothing. A filter and a map-side combined aggregate: nothing is sorted.
+    """
+    n, least = df.agg(F.approx_count_distinct(order, 0.01), F.min(order)).first()
+    some = df if n <= size else df.where(F.col(order) <= max(least, int(-(2**63) + 2**64 * (size / n))))
+    return some.dropDuplicates([order])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, stash, tune
 
-#: Rows that the scorer is trained on, about and by a hash of the id; all, if there are fewer.
+#: Different rows that the scorer is trained on, about and by a hash of id and text; all, if there are fewer.
 SAMPLE = 12_000
 #: Places that features are hashed to.
 PLACES = 1 << 14
@@ -26,11 +26,11 @@ FUNCTION_WORDS = frozenset(
     "als auf aus das dem den der die ein eine einen er es für ist mit nicht sich sie und von zu "
     "al con del el ella ha las lo los más no para por se sin su una y".split()
 )
-#: Bounds of the labellers' rates: faults found in good texts at most, in bad ones at least.
-ALARM, MISS = 0.005, 0.05
-#: The least share of good texts that is believed, so that a text without faults is kept
-#: whatever the others are.
-LEAST_GOOD = 0.5
+#: What is believed before any text is seen: the share of good texts, how often a
+#: labeller finds fault with good and with bad ones, and how much each belief
+#: weighs, in shares of all texts. Labellers are built to spare good texts; without
+#: that belief a rare symptom would be explained as a habit of good ones.
+GOOD, ALARM, FAULT = (0.8, 1.0), (0.005, 0.2), (0.3, 0.002)
 PLAIN = frozenset(".,;:'\"()-?")
 #: Codes of characters: X upper case, x other letters, 9 digits, a blank, ASCII
 #: marks themselves, and ~ for every other mark. Beyond the table all letters are x.
@@ -41,6 +41,8 @@ def _code(c: str) -> int:
     return ord("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else " " if c.isspace() else c if c < "\x7f" else "~")
 
 
+#: Shapes of ordinary words: letters, and one mark at the end.
+ORDINARY = frozenset(w + m for w in (b"x", b"Xx", b"X") for m in (b"", b".", b",", b";", b":", b"?", b"!"))
 CODES = np.array([_code(chr(i)) for i in range(TABLE)], dtype=np.uint8)
 ODD = np.array([not chr(i).isalnum() and chr(i) != " " and chr(i) not in PLAIN for i in range(256)])
 
@@ -60,6 +62,8 @@ class Look:
     stops: float  # share of words that end a phrase
     variety: float  # distinct words for each word
     squeeze: float  # compressed bytes for each byte
+    letters: float  # share of characters that are letters
+    plain: float  # share of words that are letters alone, or with a mark at the end
     n_lines: int
     shapes: Counter
 
@@ -80,19 +84,22 @@ def look(text: str) -> Look:
     upper, letters, odd = int(each[ord("X")]), int(each[ord("X")] + each[ord("x")]), int(each[ODD].sum())
     # runs of a code collapse; what is left between blanks are the tokens' shapes
     runs = codes[np.flatnonzero(np.diff(codes, prepend=0))].tobytes()
-    shapes = Counter(s[:12] for s in runs.split(b" ") if s)
+    shapes = Counter(s for s in runs.split(b" ") if s)
+    ordinary = sum(k for s, k in shapes.items() if s in ORDINARY)
     return Look(
         len(tokens), odd / n, upper / max(1, letters), text.count("|") / n, sum(a == b for a, b in zip(tokens, tokens[1:])) / n,
         max(counts.values(), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)),
         sum(k for t, k in counts.items() if t.lower() in FUNCTION_WORDS) / n, sum(k for t, k in counts.items() if t[-1] in ".,;:?!") / n,
-        len(counts) / n, _squeeze(text), len(lines), shapes,
+        len(counts) / n, _squeeze(text), letters / max(1, len(points)), ordinary / max(1, sum(shapes.values())), len(lines), shapes,
     )
 
 
 #: The heuristic labellers; each says 1 (good), 0 (bad) or -1 (does not apply).
-#: Most look for one symptom, so that their good votes alone say little.
+#: Several look at each symptom in different ways, so their votes overlap.
 LABELLERS = {
     "symbols": lambda x: 0 if x.symbols > 0.12 and x.symbols * x.words >= 5 else 1,
+    "letters": lambda x: (0 if x.letters < 0.7 else 1) if x.words >= 40 else -1,
+    "plain": lambda x: (0 if x.plain < 0.85 else 1) if x.words >= 40 else -1,
     "upper": lambda x: (0 if x.upper > 0.25 else 1) if x.words >= 5 else -1,
     "pipes": lambda x: 0 if x.pipes > 0.08 else 1,
     "repeats": lambda x: (0 if x.repeats > 0.12 else 1) if x.words >= 15 else -1,
@@ -134,27 +141,31 @@ class LabelModel:
     faults: list[tuple[float, float]]  # P(0 | applies) for bad and for good texts
 
     @classmethod
-    def fit(cls, patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> "LabelModel":
-        """By expectation-maximisation over counts of vote patterns. It starts from
-        labellers that find fault with three bad texts in ten and one good text in five
-        hundred; one pseudo-count. A heuristic is built to spare good texts, so no
-        rate of faults on good ones passes ALARM, and no rate on bad ones falls below
-        MISS; without that, a symptom of few texts would be explained as good."""
-        k = len(LABELLERS)
-        model = cls(0.8, [(0.3, 0.002) for _ in range(k)])
+    def fit(cls, patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> "LabelModel":
+        """By expectation-maximisation over counts of vote patterns.
+
+        Rates and shares are posterior means under the beliefs GOOD, ALARM and
+        FAULT; nothing bounds them, so the votes of many texts overrule a belief:
+        a labeller that finds fault with texts that the others find good is
+        believed less.
+        """
+        total, k = sum(n for _, n in patterns), len(patterns[0][0]) if patterns else len(LABELLERS)
+        held = [(mean, share * total + 2) for mean, share in (GOOD, FAULT, ALARM)]
+        model = cls(GOOD[0], [(FAULT[0], ALARM[0])] * k)
         for _ in range(rounds):
             soft = [(v, n, model.posterior(v)) for v, n in patterns]
             faults = []
             for i in range(k):
-                both = []
-                for good, start in ((0, 0.3), (1, 0.002)):
-                    mass = [start, 1 - start]
+                rates = []
+                for good, (mean, weight) in enumerate(held[1:]):
+                    mass = [mean * weight, (1 - mean) * weight]
                     for v, n, p in soft:
                         if v[i] >= 0:
                             mass[v[i]] += n * (p if good else 1 - p)
-                    both.append(mass[0] / sum(mass))
-                faults.append((max(both[0], MISS), min(both[1], ALARM)))
-            model = cls(max(LEAST_GOOD, (sum(n * p for _, n, p in soft) + 1.6) / (sum(n for _, n, _ in soft) + 2)), faults)
+                    rates.append(mass[0] / sum(mass))
+                faults.append((rates[0], rates[1]))
+            mean, weight = held[0]
+            model = cls((sum(n * p for _, n, p in soft) + mean * weight) / (total + weight), faults)
         return model
 
     def posterior(self, v: tuple[int, ...]) -> float:
@@ -181,13 +192,10 @@ def fit_linear(rows: list[tuple[list[int], list[float], float]], steps: int = 25
     x = np.concatenate([np.array(r[1]) for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     y = np.array([r[2] for r in rows])
-    # both classes weigh the same in all, so that the rarer one is learned too
-    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    weigh = (y / share + (1 - y) / (1 - share)) / (2 * len(rows))
     m, v, mb, vb = np.zeros(PLACES), np.zeros(PLACES), 0.0, 0.0
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at] * x, len(rows)) + b, -60, 60)))
-        e = (p - y) * weigh
+        e = (p - y) / len(rows)
         g, gb = np.bincount(at, e[row] * x, PLACES) + decay * w, e.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
@@ -212,10 +220,12 @@ class Scorer:
 SEEN = "doc_id long, order long, pattern binary, at array<int>, x array<double>"
 
 
-def seen(docs: DataFrame) -> DataFrame:
+def seen(docs: DataFrame, rows: bool = False) -> DataFrame:
     """What the labellers say of every text (a byte each: 0 nothing, 1 bad, 2 good) and
-    its hashed features, written to the shared folder: texts are read once."""
+    its hashed features, written to the shared folder: texts are read once. With
+    ``rows``, the whole row goes along as ``row``."""
     tune(docs.sparkSession)
+    more = ["row"] if rows else []
     schema = pa.schema([("doc_id", pa.int64()), ("order", pa.int64()), ("pattern", pa.binary()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,23 +233,21 @@ def seen(docs: DataFrame) -> DataFrame:
             looks = [look((t or b"").decode("utf-8", "replace")) for t in batch.column(2).to_pylist()]
             pairs = [hashed(x) for x in looks]
             out = [batch.column(0), batch.column(1), pa.array([bytes(v + 1 for v in votes(x)) for x in looks], pa.binary()), pa.array([p[0] for p in pairs], schema.field(3).type), pa.array([p[1] for p in pairs], schema.field(4).type)]
-            yield pa.RecordBatch.from_arrays(out, schema=schema)
+            yield pa.RecordBatch.from_arrays([*out, *batch.columns[3:]], names=[*schema.names, *more])
 
-    # rows without an id are ordered by their text
-    order = F.xxhash64(F.lit(10), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("order"), F.col("text").cast("binary").alias("text"))
-    return stash(rows.mapInArrow(run, SEEN), "seen")
+    order = F.xxhash64(F.lit(10), F.col("doc_id").cast("long"), F.col("text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("order"), F.col("text").cast("binary").alias("text"), *[F.struct(*docs.columns).alias(n) for n in more])
+    whole = f"{SEEN}, row {read.schema['row'].dataType.simpleString()}" if rows else SEEN
+    return stash(read.mapInArrow(run, whole), "seen")
 
 
 def fit(found: DataFrame, sample: int = SAMPLE) -> Scorer:
     """The label model on the votes on every document, the scorer on about
     ``sample`` of them, or on all if there are fewer. ``found`` is what ``seen`` gives. What reaches the driver is
-    at most 3^10 counts of patterns, and the sample's features."""
+    at most 3^12 counts of patterns, and the sample's features."""
     counted = found.groupBy("pattern").count().collect()
     labels = LabelModel.fit(sorted((tuple(b - 1 for b in bytes(r["pattern"])), r["count"]) for r in counted))
-    # rows that repeat an id and a text are one
-    some = hash_sample(found, "order", sample).groupBy("order", "pattern").agg(F.min(F.struct("at", "x")).alias("features"))
-    rows = sorted(some.select("pattern", "features.*").collect(), key=lambda r: (bytes(r["pattern"]), r["at"], r["x"]))
+    rows = sorted(hash_sample(found, "order", sample).select("pattern", "at", "x").collect(), key=lambda r: (bytes(r["pattern"]), r["at"], r["x"]))
     weights, bias = fit_linear([(r["at"], r["x"], labels.posterior(tuple(b - 1 for b in bytes(r["pattern"])))) for r in rows])
     return Scorer(labels, weights, bias)
 
@@ -262,26 +270,26 @@ def score(found: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
     return found.select("doc_id", "pattern", "at", "x").mapInArrow(run, "doc_id long, quality double, weak_quality double, n_votes int, kept boolean")
 
 
-def keep_good(docs: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose quality is at least ``least``."""
-    tune(docs.sparkSession)
-    place = docs.columns.index("text")
+def keep_good(found: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
+    """The rows that ``seen`` carried whose quality is at least ``least``, with all
+    their columns. The weights are few and are part of the plan.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(place).cast(pa.binary()).to_pylist()
-            yield batch.filter(pa.array([model.good(look((t or b"").decode("utf-8", "replace"))) >= least for t in texts], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    Nulls, empty, long and repeated rows are judged as in ``quality``; an empty
+    table gives an empty result.
+    """
+    weights = F.split(F.lit(",".join(map(repr, model.weights.tolist()))), ",").cast("array<double>")
+    pulls = F.zip_with("at", "x", lambda i, x: F.get(weights, i) * x)
+    good = 1 / (1 + F.exp(-F.aggregate(pulls, F.lit(float(model.bias)), lambda a, p: a + p)))
+    return found.where(good >= least).select("row.*")
 
 
 def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Quality of every text, by a model of all of them; one row for each row.
 
     Returns what ``score`` does. A null text counts as empty, which no labeller
-    minds; a null id stays null; repeated rows give repeated results; columns
-    beside ``doc_id`` and ``text`` are ignored; an empty table gives an empty
-    result.
+    minds; a null id stays null; repeated rows give repeated results and are one
+    row of the sample; texts are taken whole however long; columns beside
+    ``doc_id`` and ``text`` are ignored; an empty table gives an empty result.
     """
     found = seen(docs)
     return score(found, fit(found, sample))

@@ -17,12 +17,10 @@ from .common import hash_sample, stash, tune
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features beside whole words.
 BEGINNINGS = range(3, 9)
-#: Labelled rows that the model is fitted on, about and by a hash of the id; all, if there are fewer.
+#: Labelled rows that the model is fitted on, about and by a hash of id and text; all, if there are fewer.
 SAMPLE = 12_000
-#: Features, at most, and the evidence (chi-squared) and documents that each needs.
-FEATURES, EVIDENCE, SEEN = 1_000, 40.0, 6
-#: Telling words from which a toxic text is of grade 2 and of grade 3.
-CUTS = (4, 10)
+#: The evidence (chi-squared, one degree of freedom) that each feature needs; every one that has it is taken.
+EVIDENCE = 100.0
 GRADES = 4
 #: Words of which one with a feature makes it as dense as counts.
 FULL = 100
@@ -78,49 +76,44 @@ class Severity:
     number: dict[str, int]
     weights: np.ndarray
     thresholds: np.ndarray
-    #: Features that tell of toxic texts.
-    strong: frozenset[int] = frozenset()
 
     def __post_init__(self):
         self.starts = {f[:3] for f in self.number}
         self.short = {f for f in self.number if len(f) < 3}
         self.lengths = sorted({len(f) - 1 for f in self.number if f.endswith("*")})
 
-    def found(self, text: str) -> tuple[dict[int, int], int, int]:
-        """How many words have each feature, how many there are, and how many tell."""
+    def found(self, text: str) -> tuple[dict[int, int], int]:
+        """How many words have each feature, and how many there are."""
         out: dict[int, int] = {}
-        hits = 0
         words = tokens(text)
         for word, count in words.items():
             if word[:3] not in self.starts and word not in self.short:
                 continue
-            tells = False
             for feature in (word, *[word[:n] + "*" for n in self.lengths if n <= len(word)]):
                 i = self.number.get(feature)
                 if i is not None:
                     out[i] = out.get(i, 0) + count
-                    tells |= i in self.strong
-            hits += count * tells
-        return out, sum(words.values()), hits
+        return out, sum(words.values())
 
-    def shares(self, found: list[tuple[dict[int, int], int, int]]) -> np.ndarray:
+    def shares(self, found: list[tuple[dict[int, int], int]]) -> np.ndarray:
         """P(grade) for each text: differences of the cumulative links."""
-        pull = np.array([sum(self.weights[i] * x for i, x in values(f, n, len(self.number)).items()) for f, n, _ in found])
+        pull = np.array([sum(self.weights[i] * x for i, x in values(f, n, len(self.number)).items()) for f, n in found])
         below = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - pull[:, None], -60, 60)))
         return np.diff(np.hstack([np.zeros((len(found), 1)), below, np.ones((len(found), 1))]), axis=1)
 
 
-def fit_links(x: np.ndarray, grades: np.ndarray, start: np.ndarray | None = None, steps: int = 600, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of largest likelihood. The first threshold is free
-    and the gaps above it are exponentials, so they stay ordered. ``start`` gives
-    the weights to begin with."""
+def fit_links(
+    cells: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, grades: np.ndarray, start: np.ndarray | None = None, steps: int = 600, decay: float = 1e-5
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of largest likelihood, of sparse rows given as
+    (row, column, value). The first threshold is free and the gaps above it are
+    exponentials, so they stay ordered. ``start`` gives the weights to begin with."""
     last = int(GRADES - 1)
-    p = np.concatenate([np.zeros(x.shape[1]) if start is None else start, [3.0], np.zeros(last - 1)])
+    p = np.concatenate([np.zeros(width) if start is None else start, [3.0], np.zeros(last - 1)])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    width, n = x.shape[1], len(grades)
+    n = len(grades)
     rows = np.arange(n)
-    row, column = np.nonzero(x)  # few texts have few features
-    value = x[row, column].astype(np.float64)
+    row, column, value = cells
     for step in range(1, steps + 1):
         gaps = np.exp(np.clip(p[width + 1 :], -6, 6))
         cuts = p[width] + np.concatenate([[0.0], np.cumsum(gaps)])
@@ -147,28 +140,60 @@ def distinct(telling: list) -> list:
     beginnings, or of nested beginnings, that nearly the same documents have,
     the longest of the most telling ones stays."""
     out = []
+    by_stem: dict[str, list[int]] = {}  # documents that have features of this stem
+    longer: dict[str, list[int]] = {}  # .. or of one that begins with it
     for r in sorted(telling, key=lambda r: (-round(r["odd"], 1), -len(r["feature"]), r["feature"][-1] == "*")):
         stem, both = r["feature"].rstrip("*"), r["t"] + r["c"]
-        if not any((stem.startswith(k) or k.startswith(stem)) and abs(both - n) <= 0.05 * max(both, n) for k, n in ((o["feature"].rstrip("*"), o["t"] + o["c"]) for o in out)):
+        kin = [n for k in range(len(stem) + 1) for n in by_stem.get(stem[:k], [])] + longer.get(stem, [])
+        if not any(abs(both - n) <= 0.05 * max(both, n) for n in kin):
             out.append(r)
+            by_stem.setdefault(stem, []).append(both)
+            for k in range(len(stem)):
+                longer.setdefault(stem[:k], []).append(both)
     return out
 
 
+def graded(toxic: np.ndarray, words: np.ndarray, cells: tuple[np.ndarray, np.ndarray, np.ndarray], width: int) -> np.ndarray:
+    """Grades of labelled rows: 0 for clean ones, and 1 to 3 for toxic ones.
+
+    There are no labels of severity, so it is estimated out of fold: each half
+    of the rows learns how much more often toxic rows have each feature, and the
+    other half's toxic rows are measured by it, divided by the square root of
+    their length, so that neither short nor long texts are of one grade alone. A
+    third of them is of each grade. No row's grade depends on what the row itself
+    taught.
+    """
+    row, column, count = cells
+    severity = np.zeros(len(toxic))
+    for half in (0, 1):
+        taught = (np.arange(len(toxic)) % 2 == half)[row]
+        has = [np.bincount(column[taught & (toxic[row] == y)], minlength=width) for y in (0, 1)]
+        n = [max(1, int(((np.arange(len(toxic)) % 2 == half) & (toxic == y)).sum())) for y in (0, 1)]
+        tells = np.maximum(0, np.log((has[1] + 0.5) / (n[1] + 1)) - np.log((has[0] + 0.5) / (n[0] + 1)))
+        severity += np.bincount(row[~taught], tells[column[~taught]] * count[~taught], len(toxic))
+    severity /= np.sqrt(np.maximum(1, words))
+    grades = np.zeros(len(toxic), dtype=np.int64)
+    if toxic.any():
+        cuts = np.quantile(severity[toxic == 1], [1 / 3, 2 / 3])
+        grades[toxic == 1] = 1 + (severity[toxic == 1][:, None] > cuts).sum(1)
+    return grades
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
     """Fit on about ``sample`` labelled documents, or on all if there are fewer.
 
     ``labels`` has ``doc_id`` and ``toxic`` (0 or 1; other rows are ignored; if
     an id has several, the largest counts). Grade 0 is a text that is not toxic;
-    toxic ones are of grade 1, 2 or 3 by how many of their words tell, at the fixed
-    CUTS. Features are those whose documents differ most between toxic
-    and clean ones; only they, at most FEATURES, reach the driver.
+    see ``graded`` for the others. Features are all words and beginnings that
+    differ significantly between toxic and clean documents; only they reach the
+    driver, and the rows of the sample that have them.
     """
     tune(docs.sparkSession)
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = hash_sample(stash(chosen.withColumn("order", F.xxhash64("of")), "labels"), "order", sample).drop("order")
-    chosen = stash(chosen, "labelled")
-    # the sample is bounded, so it may go to every executor
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    chosen = stash(hash_sample(stash(chosen.withColumn("order", F.xxhash64("of")), "labels"), "order", sample).drop("order"), "labelled")
+    # the sample is bounded, so it may go to every executor; an id may have many texts, so what it meets is sampled too
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    texts = stash(hash_sample(met.select("toxic", "text", F.xxhash64("of", "text").alias("order")), "order", sample), "sample")
     counted = texts.select("toxic", "text").mapInArrow(_counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -176,33 +201,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
         return Severity({}, np.zeros(0), np.array([50.0, 51.0, 52.0]))
     n, seen = float(toxic + clean), F.col("t") + F.col("c")
     odd = (F.col("t") * float(clean) - F.col("c") * float(toxic)) ** 2 * n / (float(toxic) * float(clean) * seen * (n - seen + 1))
-    telling = counted.where(seen >= SEEN).withColumn("odd", odd).where(F.col("odd") >= EVIDENCE).orderBy(F.desc("odd"), "feature").limit(FEATURES).collect()
-    telling = distinct(telling)
+    telling = distinct(counted.withColumn("odd", odd).where(F.col("odd") >= EVIDENCE).collect())
     number = {r["feature"]: i for i, r in enumerate(telling)}
-    strong = frozenset(i for i, r in enumerate(telling) if r["t"] * clean > 4 * r["c"] * toxic)
-    empty = Severity(number, np.zeros(2 * len(number)), np.array([1.0, 2.0, 3.0]), strong)
-    schema = pa.schema([("toxic", pa.int64()), ("words", pa.int64()), ("hits", pa.int64()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
+    width = len(number)
+    empty = Severity(number, np.zeros(2 * width), np.array([1.0, 2.0, 3.0]))
+    schema = pa.schema([("order", pa.int64()), ("toxic", pa.int64()), ("words", pa.int64()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            found = [empty.found(t) for t in texts]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0).to_pylist(), "words": [n for _, n, _ in found], "hits": [h for _, _, h in found], "at": [list(f) for f, _, _ in found], "times": [list(f.values()) for f, _, _ in found]}, schema=schema)
-
-    rows = texts.select("toxic", "text").mapInArrow(seen_in, "toxic long, words long, hits long, at array<int>, times array<int>").collect()  # at most the sample
-    rows.sort(key=lambda r: (r["toxic"], r["words"], r["at"], r["times"]))
-    x = np.zeros((len(rows), 2 * len(number)), dtype=np.float32)
-    grades = np.zeros(len(rows), dtype=np.int64)
-    for k, r in enumerate(rows):
-        for i, value in values(dict(zip(r["at"], r["times"])), r["words"], len(number)).items():
-            x[k, i] = value
-        if r["toxic"]:
-            grades[k] = 1 + sum(r["hits"] >= cut for cut in CUTS)
+            found = [empty.found((t or b"").decode("utf-8", "replace")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"order": batch.column(0).to_pylist(), "toxic": batch.column(1).to_pylist(), "words": [n for _, n in found], "at": [list(f) for f, _ in found], "times": [list(f.values()) for f, _ in found]}, schema=schema)
+
+    rows = texts.select("order", "toxic", "text").mapInArrow(seen_in, "order long, toxic long, words long, at array<int>, times array<int>").collect()  # at most the sample
+    rows.sort(key=lambda r: (r["order"], r["toxic"], r["words"], r["at"], r["times"]))
+    words, isn = np.array([r["words"] for r in rows]), np.array([r["toxic"] for r in rows])
+    lengths = [len(r["at"]) for r in rows]
+    row, column, count = np.repeat(np.arange(len(rows)), lengths), np.array([i for r in rows for i in r["at"]], dtype=np.int64), np.array([c for r in rows for c in r["times"]], dtype=np.float64)
+    grades = graded(isn, words, (row, column, count), width)
+    both = [(k, i, x) for k, r in enumerate(rows) for i, x in values(dict(zip(r["at"], r["times"])), r["words"], width).items()]
+    cells = (np.array([b[0] for b in both], dtype=np.int64), np.array([b[1] for b in both], dtype=np.int64), np.array([b[2] for b in both]))
     # each feature's own log odds: texts with many telling words would else never teach
     # that one of them is enough
     odds = [math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1)) for r in telling]
-    weights, thresholds = fit_links(x, grades, np.concatenate([np.clip(odds, -3, 6), np.zeros(len(telling))]))
-    return Severity(number, weights, thresholds, strong)
+    weights, thresholds = fit_links(cells, 2 * width, grades, np.concatenate([np.clip(odds, -3, 6), np.zeros(width)]))
+    return Severity(number, weights, thresholds)
 
 
 def score(docs: DataFrame, model: Severity) -> DataFrame:
@@ -211,8 +233,9 @@ def score(docs: DataFrame, model: Severity) -> DataFrame:
     Returns ``doc_id``, ``severity`` (0 to 3, the expected grade), ``grade`` (the
     likeliest), ``p_toxic`` (of any grade above 0) and ``toxic`` (whether that is
     at least one half). A null text counts as empty; a null id stays null;
-    repeated rows give repeated results; columns beside ``doc_id`` and ``text``
-    are ignored; an empty table gives an empty result.
+    repeated rows give repeated results; texts are taken whole however long;
+    columns beside ``doc_id`` and ``text`` are ignored; an empty table gives an
+    empty result.
     """
     tune(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()), ("p_toxic", pa.float64()), ("toxic", pa.bool_())])
