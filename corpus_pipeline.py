@@ -17,7 +17,8 @@ from corvane.llm.pii import find_pii, masked
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on them, does not reject."""
     tune(spark)
-    return q.keep_good(docs, q.fit(q.seen(docs)))
+    found = q.seen(docs, rows=True)
+    return q.keep_good(found, q.fit(found))
 
 
 def _free(docs: DataFrame) -> str:
