@@ -28,6 +28,8 @@ ARCHIVE_BYTES, RANGE_BYTES = 32 << 20, 8 << 20
 #: Bytes of payload in one Arrow batch.
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 3
+#: Ranges that are planned, at most.
+MOST_RANGES = 50_000
 #: A payload is padded to a multiple of this.
 UNIT = 64
 #: Fixed values of the PNG format.
@@ -82,17 +84,24 @@ def _files(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def _bytes(uri: str) -> bytes:
+    files, path = _files(uri)
+    with files.open_input_stream(path) as source:
+        return source.read()
+
+
 def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Store every text of ``docs`` as an image in uncompressed zip archives.
 
-    Each attempt of a task writes archives with names of its own, and only the
-    archives that successful attempts report are listed in the manifest, whose
-    path is returned; what a lost executor leaves behind is never read.
+    Each attempt of a task writes archives, and a list of them, under names of
+    its own. The driver learns only the lists of successful attempts and their
+    sizes, a row a task, and writes them to an index, whose path is returned;
+    what a lost executor leaves behind is never read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
-        done: list[tuple[str, int, int]] = []
+        done: list[tuple[str, int]] = []
         held, archive, members = io.BytesIO(), None, 0
 
         def close() -> None:
@@ -103,7 +112,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
             name = f"{uuid.uuid4().hex}.zip"
             with files.open_output_stream(f"{root}/{name}") as out:
                 out.write(held.getbuffer())
-            done.append((name, held.getbuffer().nbytes, members))
+            done.append((name, held.getbuffer().nbytes))
             held, archive, members = io.BytesIO(), None, 0
 
         for batch in batches:
@@ -116,22 +125,27 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
                 if held.tell() >= archive_bytes:
                     close()
         close()
-        yield pa.RecordBatch.from_pydict({k: [x[i] for x in done] for i, k in enumerate(("name", "bytes", "members"))}, schema=pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("members", pa.int64())]))
+        if done:
+            part = f"{uuid.uuid4().hex}.json"
+            with files.open_output_stream(f"{root}/{part}") as out:
+                out.write(json.dumps(done).encode())
+            yield pa.RecordBatch.from_pydict({"part": [part], "bytes": [sum(n for _, n in done)]}, schema=pa.schema([("part", pa.string()), ("bytes", pa.int64())]))
 
     files, root = _files(folder)
     files.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    listed = [(r["name"], r["bytes"]) for r in rows.mapInArrow(run, "name string, bytes long, members long").collect()]
-    with files.open_output_stream(f"{root}/manifest.json") as out:
+    listed = [(r["part"], r["bytes"]) for r in rows.mapInArrow(run, "part string, bytes long").collect()]  # a row a task
+    with files.open_output_stream(f"{root}/index.json") as out:
         out.write(json.dumps(sorted(listed)).encode())
-    return f"{folder}/manifest.json"
+    return f"{folder}/index.json"
 
 
 class MediaRange(InputPartition):
-    """The members of an archive whose local headers begin in a range of bytes."""
+    """Ranges of bytes in lists of archives: the members whose local headers begin
+    there, if a list's archives stood one behind the other."""
 
-    def __init__(self, path: str, low: int, high: int):
-        self.path, self.low, self.high = path, low, high
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        self.pieces = pieces
 
 
 def read_member(source, info: zipfile.ZipInfo) -> bytes:
@@ -150,38 +164,72 @@ def read_member(source, info: zipfile.ZipInfo) -> bytes:
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.manifest = options["manifest"]
+        self.index = options["index"]
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.attempts = int(options.get("attempts", ATTEMPTS))
 
+    def again(self, fetch):
+        """What ``fetch`` gives, by as many attempts as are allowed."""
+        for attempt in range(1, self.attempts + 1):
+            try:
+                return fetch()
+            except OSError:
+                if attempt == self.attempts:
+                    raise
+                time.sleep(0.1 * attempt)
+
     def partitions(self) -> list[MediaRange]:
-        files, path = _files(self.manifest)
-        with files.open_input_stream(path) as lines:
-            listed = json.loads(lines.read())
-        folder = self.manifest.rpartition("/")[0]
-        return [MediaRange(f"{folder}/{name}", low, low + self.range_bytes) for name, size in listed for low in range(0, size, self.range_bytes)] or [MediaRange("", 0, 0)]
+        """Ranges of equal size, from the index alone: archives are listed by the
+        tasks that read them. Ranges grow where they would be more than MOST_RANGES."""
+        listed = json.loads(self.again(lambda: _bytes(self.index)))
+        size = max(1, self.range_bytes, -(-sum(n for _, n in listed) // MOST_RANGES))
+        out, pieces, room = [], [], size
+        for part, end in listed:
+            low = 0
+            while low < end:
+                high = min(end, low + room)
+                pieces.append((part, low, high))
+                room, low = room - (high - low), high
+                if not room:
+                    out.append(MediaRange(pieces))
+                    pieces, room = [], size
+        return out + [MediaRange(pieces)] if pieces or not out else out
 
     def read(self, partition: MediaRange) -> Iterator[pa.RecordBatch]:
+        folder = self.index.rpartition("/")[0]
+        for part, low, high in partition.pieces:
+            start = 0
+            for name, size in json.loads(self.again(lambda: _bytes(f"{folder}/{part}"))):
+                if low < start + size and start < high:
+                    yield from self.members(f"{folder}/{name}", low - start, high - start)
+                start += size
+
+    def members(self, uri: str, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        """Members of an archive by the range of their offsets, each retried alone."""
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-        if not partition.path:
-            return
-        files, path = _files(partition.path)
-        source = files.open_input_file(path)
-        with zipfile.ZipFile(source) as archive:
-            members = [i for i in archive.infolist() if partition.low <= i.header_offset < partition.high]
-        source = files.open_input_file(path)
+        files, path = _files(uri)
+
+        def directory() -> list[zipfile.ZipInfo]:
+            with zipfile.ZipFile(files.open_input_file(path)) as archive:
+                return sorted((i for i in archive.infolist() if low <= i.header_offset < high), key=lambda i: i.header_offset)
+
+        found = self.again(directory)
+        source = None
+
+        def fetch(info: zipfile.ZipInfo) -> bytes:
+            nonlocal source
+            if source is None:
+                source = files.open_input_file(path)
+            try:
+                return read_member(source, info)
+            except OSError:
+                source = None  # opened anew
+                raise
+
         out: dict[str, list] = {f.name: [] for f in schema}
         held = 0
-        for info in sorted(members, key=lambda i: i.header_offset):
-            for attempt in range(1, self.attempts + 1):
-                try:
-                    media = read_member(source, info)
-                    break
-                except OSError:
-                    if attempt == self.attempts:
-                        raise
-                    time.sleep(0.1 * attempt)
-                    source = files.open_input_file(path)
+        for info in found:
+            media = self.again(lambda: fetch(info))
             _, doc_id, n_bytes = info.filename.removesuffix(".png").split("_")
             out["doc_id"].append(int(doc_id) if doc_id else None)
             out["n_bytes"].append(int(n_bytes))
@@ -195,9 +243,9 @@ class MediaReader(DataSourceReader):
 
 
 class MediaSource(DataSource):
-    """``spark.read.format("media_archives").option("manifest", path).load()``
+    """``spark.read.format("media_archives").option("index", path).load()``
 
-    Options: ``manifest``, ``rangeBytes`` and ``attempts``. Columns: ``doc_id``,
+    Options: ``index``, ``rangeBytes`` and ``attempts``. Columns: ``doc_id``,
     ``n_bytes`` (before padding) and ``media`` (the stored image).
     """
 
@@ -212,14 +260,14 @@ class MediaSource(DataSource):
         return MediaReader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_archives(spark: SparkSession, manifest: str, **options) -> DataFrame:
-    """The members of the archives that a manifest lists."""
+def read_archives(spark: SparkSession, index: str, **options) -> DataFrame:
+    """The members of the archives behind an index."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     try:
         spark.dataSource.register(MediaSource)
     finally:
         cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
-    reader = spark.read.format("media_archives").option("manifest", manifest)
+    reader = spark.read.format("media_archives").option("index", index)
     for k, v in options.items():
         reader = reader.option(k, str(v))
     return reader.load()
@@ -261,8 +309,9 @@ def media_columns(docs: DataFrame, folder: str | None = None, archive_bytes: int
     result reads lazily. Archives are filled in memory up to ``archive_bytes``
     and one member, and read member by member.
 
-    A null text counts as empty and is 64 bytes 0; a null id stays null; equal
-    texts give equal values, whatever their archive; repeated rows give repeated
+    A null text counts as empty and is 64 bytes 0; a null id stays null; a long
+    text is one member, however long; equal texts give equal values, whatever
+    their archive; repeated rows give repeated
     results; columns beside ``doc_id`` and ``text`` are ignored; an empty table
     gives an empty result.
     """

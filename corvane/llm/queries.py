@@ -53,6 +53,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def shards_of_64_kib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a limit at which small tables are split too."""
+    return shard(table(spark, sf_dir, "documents"), 64 << 10)
+
+
 def token_digests(codec: Codec, ids: list[int]) -> dict:
     """Digests of a document's ids and of the bytes decoded from them."""
     return {
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_cap_filters": op4_cap_filters,
         "op5_sharding": op5_sharding,
+        "shards_of_64_kib": shards_of_64_kib,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mixing": op7_mixing,
         "op8_toxicity": op8_toxicity,

@@ -32,8 +32,8 @@ def shard(docs: DataFrame, limit: int = 16 << 20) -> DataFrame:
     Rows that share all 60 bits (repeats of one id) cannot be split by hashing:
     they go to overflow pages within the limit, a row of more than half the
     limit to a page of its own. Only a single text above the limit exceeds it.
-    A null text has no bytes; null ids hash alike; an empty table gives an empty
-    result.
+    A null text has no bytes; null ids hash alike; a long text counts whole; an
+    empty table gives an empty result.
     """
     tune(docs.sparkSession)
     keyed = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(whole_text()).cast("long").alias("bytes"), hash_key(F.col("doc_id"), SEED).alias("h")), "keys")
@@ -63,13 +63,28 @@ def shard(docs: DataFrame, limit: int = 16 << 20) -> DataFrame:
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
-    """Overflow pages of rows whose hashes are equal."""
-    large = F.col("bytes") > limit // 2
-    run = Window.partitionBy("h", "large").orderBy("bytes", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    by = Window.partitionBy("h", "page")
-    page = F.when(F.col("large"), -F.row_number().over(Window.partitionBy("h", "large").orderBy("bytes", "doc_id"))).otherwise(F.floor(F.coalesce(F.sum("bytes").over(run), F.lit(0)) / max(1, limit // 2)))
-    return (
-        rows.withColumn("large", large)
-        .withColumn("page", page.cast("long"))
-        .select("doc_id", "bytes", F.lit(KEY_BITS).alias("depth"), F.col("h").alias("prefix"), F.sum("bytes").over(by).alias("shard_bytes"), F.count("*").over(by).alias("shard_docs"), "page")
-    )
+    """Overflow pages of rows whose hashes are equal.
+
+    Rows of equal hash, id and bytes are one class. Prefix sums run over the
+    classes of a hash, and a row's place within its class is its number in its
+    partition after those of the partitions before; so however many rows share
+    a hash, no task has to hold them.
+    """
+    half = max(1, limit // 2)
+    rows = stash(rows.withColumn("part", F.spark_partition_id()), "overflow")
+    of = ["h", "doc_id", "bytes"]
+    parts = rows.groupBy(*of, "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*of).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    classes = parts.groupBy(*of).agg(F.sum("n").alias("n")).withColumn("large", F.col("bytes") > limit // 2)
+    ahead = Window.partitionBy("h", "large").orderBy("bytes", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select(*of, "large", F.coalesce(F.sum(F.col("n") * F.col("bytes")).over(ahead), F.lit(0)).alias("offset"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    a, b = parts.alias("a"), classes.alias("b")
+    starts = stash(a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in of]).select(*[F.col(f"a.{c}").alias(f"_{c}") for c in of], F.col("part").alias("_part"), "first", "large", "offset", "before"), "classes")
+    own = F.row_number().over(Window.partitionBy(*of, "part").orderBy("part")) - 1
+    at = rows.withColumn("own", own).join(starts, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*of, "part")])
+    number = F.col("first") + F.col("own")
+    page = F.when(F.col("large"), -1 - F.col("before") - number).otherwise(F.floor((F.col("offset") + number * F.col("bytes")) / half))
+    paged = stash(at.select("doc_id", "bytes", "h", page.cast("long").alias("page")), "paged")
+    sums = paged.groupBy(F.col("h").alias("_h"), F.col("page").alias("_page")).agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    return paged.join(sums, (F.col("h") == F.col("_h")) & (F.col("page") == F.col("_page"))).select("doc_id", "bytes", F.lit(KEY_BITS).alias("depth"), F.col("h").alias("prefix"), "shard_bytes", "shard_docs", "page")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from .licenses import LOWER, PHRASES, TEMPLATES, UPPER, prepared
 
 #: A uniform 60-bit number from an id; the seed is the operator's.
-KEY = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{seed}'), 1, 15) AS BIGINT)"
+KEY = "CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{seed}'{more}), 1, 15) AS BIGINT)"
+
+#: What the mix's key has besides.
+TEXT = " || ':' || md5(coalesce(text, ''))"
 
 #: Everything that undirected links l (a, b) reach from each a.
 REACH = "reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)"
@@ -82,12 +85,14 @@ FROM d LEFT JOIN x USING (k) LEFT JOIN y USING (k) LEFT JOIN z USING (k)
 
 LICENSES = _licenses()
 
-SHARDS = f"""
+
+def _shards(limit: int) -> str:
+    return f"""
 WITH k AS (
-  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, {KEY.format(seed=5)} AS h FROM documents
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, {KEY.format(seed=5, more="")} AS h FROM documents
 ), p AS (
   SELECT d.depth, k.h >> (60 - d.depth) AS prefix, sum(k.bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs
-  FROM k, (SELECT unnest(range(0, 25)) AS depth) d GROUP BY ALL HAVING sum(k.bytes) <= 16777216
+  FROM k, (SELECT unnest(range(0, 25)) AS depth) d GROUP BY ALL HAVING sum(k.bytes) <= {limit}
 ), b AS (
   SELECT k.doc_id, k.bytes, k.h, min(p.depth) AS depth FROM k JOIN p ON p.prefix = k.h >> (60 - p.depth) GROUP BY ALL
 )
@@ -99,7 +104,7 @@ FROM b JOIN p ON p.depth = b.depth AND p.prefix = b.h >> (60 - b.depth)
 #: share passes twice its size; the others share what is left by weight.
 MIX = f"""
 WITH RECURSIVE k AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {KEY.format(seed=7)} AS h FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, {KEY.format(seed=7, more=TEXT)} AS h FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM k GROUP BY source
 ), t(round, source, source_size, w, capped, level) AS (
@@ -156,6 +161,7 @@ ORACLES = {
     "pii_base": _base_spans(),
     "op3_license_scan": LICENSES,
     "op4_cap_filters": CAPS,
-    "op5_sharding": SHARDS,
+    "op5_sharding": _shards(16 << 20),
+    "shards_of_64_kib": _shards(64 << 10),
     "op7_mixing": MIX,
 }

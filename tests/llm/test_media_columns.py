@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zipfile
 import zlib
 
 import pytest
 
 from corvane.llm import media_columns as media
-from corvane.llm.media_columns import MediaRange, MediaReader, feature, image_of, media_columns, padded, read_archives, samples_of, write_archives
+from corvane.llm.media_columns import MediaReader, feature, image_of, media_columns, padded, read_archives, samples_of, write_archives
 
 from .helpers import empty, odd
 
@@ -57,8 +58,8 @@ def test_members_are_retried_alone(tmp_path, monkeypatch):
 
     monkeypatch.setattr(media, "read_member", flaky)
     monkeypatch.setattr(media.time, "sleep", lambda s: None)
-    reader = MediaReader({"manifest": str(tmp_path / "manifest.json")})
-    ids = [i for b in reader.read(MediaRange(str(path), 0, 1 << 30)) for i in b.column(0).to_pylist()]
+    reader = MediaReader({"index": str(tmp_path / "index.json")})
+    ids = [i for b in reader.members(str(path), 0, 1 << 30) for i in b.column(0).to_pylist()]
     assert ids == [0, 1, 2, 3, 4] and tries["2_2_3.png"] == 3 and tries["1_1_3.png"] == 1
 
 
@@ -70,8 +71,54 @@ def test_damage_is_found(tmp_path):
     data[60] ^= 1
     path.write_bytes(data)
     with pytest.raises(OSError):
-        list(MediaReader({"manifest": "", "attempts": "1"}).read(MediaRange(str(path), 0, 1 << 30)))
+        list(MediaReader({"index": "", "attempts": "1"}).members(str(path), 0, 1 << 30))
 
 
+def test_opening_is_retried(tmp_path, monkeypatch):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("0_7_3.png", image_of(padded(b"abc")))
+    (tmp_path / "part.json").write_text(json.dumps([["a.zip", path.stat().st_size]]))
+    (tmp_path / "index.json").write_text(json.dumps([["part.json", path.stat().st_size]]))
+    left = {"index.json": 2, "part.json": 2, "a.zip": 2}
+    real = media._files
+
+    def flaky(uri):
+        name = uri.rpartition("/")[2]
+        if left.get(name, 0):
+            left[name] -= 1
+            raise OSError("lost")
+        return real(uri)
+
+    class Files:
+        def __init__(self, inner):
+            self.inner, self.left = inner, 2
+
+        def open_input_file(self, name):
+            if self.left:
+                self.left -= 1
+                raise OSError("lost")
+            return self.inner.open_input_file(name)
+
+        def open_input_stream(self, name):
+            return self.inner.open_input_stream(name)
+
+    left["a.zip"] = 0
+    monkeypatch.setattr(media, "_files", lambda uri: (Files(flaky(uri)[0]), flaky(uri)[1]))
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    reader = MediaReader({"index": str(tmp_path / "index.json")})
+    (planned,) = reader.partitions()
+    assert [b.column(0).to_pylist() for b in reader.read(planned)] == [[7]]
+
+
+def test_ranges_are_packed(tmp_path, monkeypatch):
+    (tmp_path / "index.json").write_text(json.dumps([[f"p{i}", 10 + i] for i in range(100)]))
+    for size, most in ((25, 10**6), (1, 40), (10**9, 10)):
+        monkeypatch.setattr(media, "MOST_RANGES", most)
+        planned = MediaReader({"index": str(tmp_path / "index.json"), "rangebytes": str(size)}).partitions()
+        sizes = [sum(high - low for _, low, high in p.pieces) for p in planned]
+        assert len(planned) <= most and sum(sizes) == sum(10 + i for i in range(100)) and len(set(sizes[:-1])) <= 1
+        assert [x for p in planned for part, low, high in p.pieces for x in ((part, k) for k in range(low, high))] == [(f"p{i}", k) for i in range(100) for k in range(10 + i)]
+
 def test_empty(spark):
     assert media_columns(empty(spark)).collect() == []

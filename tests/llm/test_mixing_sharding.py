@@ -48,7 +48,8 @@ def test_mix_against_brute_force(spark):
 def test_order_is_by_hash(spark):
     rows = [(i, "a b c", "s") for i in range(100)] + [(200, "x " * 1000, "t")]
     got = {r.doc_id: r.taken for r in mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3)).collect()}
-    order = sorted(range(100), key=lambda i: int(hashlib.md5(f"{i}:7".encode()).hexdigest()[:15], 16))
+    text = hashlib.md5(b"a b c").hexdigest()
+    order = sorted(range(100), key=lambda i: int(hashlib.md5(f"{i}:7:{text}".encode()).hexdigest()[:15], 16))
     counts = [got[i] for i in order]
     assert counts == sorted(counts, reverse=True)
 
@@ -63,6 +64,21 @@ def test_ranges_give_the_same(spark, monkeypatch):
     assert sorted(map(str, mix(df).collect())) == one
 
 
+def test_many_sources(spark):
+    """As many sources as rows, in turn of the weights by code point."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 6), f"s{i}") for i in range(1500)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)).collect()
+    want = targets({s: len(t.split()) for _, t, s in rows})
+    assert all(abs(r.target - want[r.source]) < 1e-6 and r.taken == int(want[r.source] + 1e-9) for r in got)
+
+
+def test_rows_without_an_id_have_keys_of_their_own(spark):
+    rows = [(None, f"a{i} b c", "s") for i in range(400)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5).collect()
+    assert sum(r.taken for r in got) == 600 and sum(r.taken == 3 for r in got) == 200
+
+
 def test_mixed_texts(spark):
     rows = [(i, f" one{i}  two{i}\nthree{i} ", "en", f"s{i % 3}", 20) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -124,6 +140,22 @@ def test_overflow_pages(spark):
     assert len(got) == 52 and max(held.values()) <= 100 and all(held[r.shard] == r.shard_bytes for r in got)
 
 
+def test_pages_of_rows_without_an_id(spark):
+    """Null ids fill many shards; none is above the limit, and small rows share pages."""
+    rng = random.Random(5)
+    rows = [(None, "x" * rng.randrange(0, 40)) for _ in range(3000)] + [(None, "y" * 70)] * 5 + [(3, "z" * 45)] * 4
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 100).collect()
+    held, docs = Counter(), Counter()
+    for r in got:
+        held[r.shard] += r.bytes
+        docs[r.shard] += 1
+    assert len(got) == len(rows) and max(held.values()) <= 100
+    assert all(held[r.shard] == r.shard_bytes and docs[r.shard] == r.shard_docs for r in got)
+    assert len(held) <= 2.2 * sum(len(t) for _, t in rows) / 100
+    again = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 100).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_shard_odd_rows(spark):
     for limit in (100, 16 << 20):
         assert len(shard(odd(spark), limit).collect()) == odd(spark).count()
