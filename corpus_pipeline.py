@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import quality as q
@@ -15,7 +15,11 @@ from corvane.llm.pii import find_pii, masked
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on them, does not reject."""
+    """Documents that the quality classifier, fitted on them, does not reject.
+
+    Null and empty texts have no faults and stay; repeated rows are judged alike;
+    long texts whole; an empty table stays empty.
+    """
     tune(spark)
     found = q.seen(docs, rows=True)
     return q.keep_good(found, q.fit(found))
@@ -42,13 +46,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated = stash(told.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(of)).count().where("count > 1").select(of), "repeated")
     if repeated.isEmpty():
         return left
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(whole_text()))
-    again = left.join(repeated, same, "left_semi").withColumn(of, F.row_number().over(first)).where(F.col(of) == 1).drop(of)
+    # rows of an id are reduced before they are sent
+    again = left.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(whole_text()), whole_text())).alias("row")).select("row.*")
     return left.join(repeated, same, "left_anti").unionByName(again)
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every span of personal data replaced by its kind."""
+    """Documents with every span of personal data replaced by its kind.
+
+    Texts without spans, null ones too, and all other columns stay as they are.
+    """
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
     found, row, some = find_pii(rows, carry=("row",)), F.col("row"), F.size("spans") > 0
     masks = found.withColumn("masked", F.when(some, masked(row["text"], F.col("spans"))).otherwise(row["text"]))
@@ -59,7 +66,10 @@ def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them.
+
+    Documents without words, and null texts, are never taken.
+    """
     return mixed_texts(docs, docs.columns)
 
 
@@ -68,7 +78,10 @@ def _numbers(codec: Codec, ids: list[int]) -> dict:
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text decoded from them."""
+    """Token ids of every document, and the text decoded from them.
+
+    A null text has no tokens and decodes to an empty one.
+    """
     return byte_bpe(docs, finish=_numbers, returns=("n_tokens long, ids array<int>, decoded string", [("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
 
 
