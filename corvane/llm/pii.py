@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,10 +39,10 @@ ADDED = {
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "person": rf"(?<![\p{{L}}'-])(?:(?<={'|'.join(NAME_CUES)})\p{{Lu}}[\p{{L}}'-]++(?:[\x20]\p{{Lu}}[\p{{L}}'-]++)*+|(?:{'|'.join(FIRST_NAMES)})(?:[\x20]\p{{Lu}}[\p{{L}}'-]++)++)",
-    "birth": rf"(?<={'|'.join(BIRTH_CUES)})[0-9]++(?:[./-][0-9]++[./-][0-9]++|[.]?[\x20]\p{{L}}++[\x20][0-9]++)",
+    "birth": rf"(?=[0-9])(?<={'|'.join(BIRTH_CUES)})[0-9]++(?:[./-][0-9]++[./-][0-9]++|[.]?[\x20]\p{{L}}++[\x20][0-9]++)",
 }
-#: Cheap signs without which a kind cannot occur.
-SIGNS = {"email": "@", "ip": ".", "phone": "+", "national": "-"}
+#: Cheap signs: a text without any of them does not have the kind.
+SIGNS = {"email": ["@"], "ip": ["."], "phone": ["+"], "national": ["-"], "person": [*NAME_CUES, *(f"{n} " for n in FIRST_NAMES)], "birth": BIRTH_CUES}
 #: Words that announce a kind within the CONTEXT characters before a span.
 CONTEXT = 48
 CUES = {
@@ -199,7 +201,7 @@ def candidates(text: Column) -> Column:
     """All candidate spans of a text, base kinds first, each with its votes and features."""
     parts = []
     for order, (kind, pattern) in enumerate((BASE | ADDED).items()):
-        gate = F.contains(text, F.lit(SIGNS[kind])) if kind in SIGNS else F.regexp_like(text, F.lit(pattern))
+        gate = reduce(or_, [F.contains(text, F.lit(x)) for x in SIGNS[kind]]) if kind in SIGNS else F.regexp_like(text, F.lit(pattern))
         parts.append(_candidates(order, kind, matches(text, pattern, gate)))
     return F.concat(*parts)
 
