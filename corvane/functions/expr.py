@@ -58,9 +58,13 @@ def vector_from(text: Column | str) -> Column:
 # text
 
 
+#: Unicode white space.
+BLANKS = r"(?U)\s+"
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case words between Unicode white space."""
-    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), BLANKS), lambda t: t != "")
 
 
 def marked_tokens(text: Column | str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,9 +29,10 @@ def _kept(documents: DataFrame) -> list[str]:
     return [c for c in KEPT if c in documents.columns]
 
 
-def _chunks(documents: DataFrame, spans: Column) -> DataFrame:
-    """Chunk rows from an array of spans of the content's bytes."""
-    rows = documents.select("document_id", F.col("content").cast("binary").alias("_bytes"), *_kept(documents), F.posexplode(spans).alias("chunk_index", "_span"))
+def _chunks(documents: DataFrame, spans: Column, context: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Chunk rows from an array of spans of the content's bytes, with what ``context``
+    makes of the content and the chunk's text, where it is in the same row."""
+    rows = documents.select("document_id", "content", F.col("content").cast("binary").alias("_bytes"), *_kept(documents), F.posexplode(spans).alias("chunk_index", "_span"))
     data = F.substring(F.col("_bytes"), F.col("_span.start_byte") + 1, F.col("_span.end_byte") - F.col("_span.start_byte"))
     return rows.select(
         F.concat(F.col("document_id").cast("string"), F.lit("-"), F.col("chunk_index").cast("string")).alias("unit_id"),
@@ -40,6 +43,7 @@ def _chunks(documents: DataFrame, spans: Column) -> DataFrame:
         data.alias("data"),
         F.struct(F.col("_span.start_byte"), F.col("_span.end_byte"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<string>").alias("section")).alias("position"),
         F.lit(0).alias("token_count"),
+        *([context(F.col("content"), expr.valid_text(data)).alias("context_prefix")] if context else []),
     )
 
 
@@ -58,40 +62,44 @@ def fixed(documents: DataFrame, size: int = DEFAULT_SIZE, overlap: int = 0) -> D
     return _chunks(documents, fixed_spans(F.col("content"), size, overlap))
 
 
-def sentence_spans(content: Column, size: int, overlap: int) -> Column:
+def sentence_walk(lengths: Sequence[int], size: int, overlap: int) -> list[tuple[int, int]]:
     """Runs of whole sentences of at most ``size`` bytes, or one longer sentence.
 
     The next run begins ``overlap`` sentences before the end of this one, if that
-    is after its own begin. The walk goes over the sentences' end offsets.
+    is after its own begin.
     """
-    lengths = F.transform(expr.sentences(content), lambda s: F.octet_length(s))
-    empty = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("ends"))
-    ends = F.aggregate(lengths, empty, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["ends"], F.array(a["at"] + n)).alias("ends")), lambda a: a["ends"])
-    start = F.struct(F.lit(0).alias("i"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    ends, out, i = [0, *accumulate(lengths)], [], 0
+    while i < len(lengths):
+        j = max(i + 1, bisect_right(ends, ends[i] + size) - 1)
+        out.append((ends[i], ends[j]))
+        i = j - overlap if 0 < overlap < j - i else j
+    return out
 
-    def step(ends: Column) -> Column:
-        count = F.size(ends) - 1
 
-        def walk(a: Column, _: Column) -> Column:
-            i = a["i"]
-            begin = F.get(ends, i)
-            j = F.greatest(i + 1, F.size(F.filter(ends, lambda e: e <= begin + size)) - 1)
-            used = j - i
-            following = F.when((F.lit(overlap) > 0) & (F.lit(overlap) < used), j - overlap).otherwise(j)
-            span = F.struct(begin.alias("start_byte"), F.get(ends, j).alias("end_byte"))
-            return F.when(i >= count, a).otherwise(F.struct(following.alias("i"), F.concat(a["out"], F.array(span)).alias("out")))
+def _walked(documents: DataFrame, seen: Column, walk: Callable[[object], list[tuple[int, int]]]) -> DataFrame:
+    """Chunks of the spans that ``walk`` finds in what it sees of each document."""
+    kept = _kept(documents)
+    carried = [F.to_json(c).alias(c) if c == "metadata" else F.col(c) for c in kept]
+    rows = documents.select(F.col("document_id").cast("string"), F.col("content").cast("binary").alias("content"), *carried, seen.alias("_seen"))
+    spans = pa.list_(pa.struct([("start_byte", pa.int32()), ("end_byte", pa.int32())]))
 
-        return F.when(count > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), start, walk, lambda a: a["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"start_byte": a, "end_byte": b} for a, b in walk(x)] if x else [] for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, spans)], names=[*batch.schema.names[:-1], "_spans"])
 
-    # the ends are computed once, as the only element of an array
-    return F.get(F.transform(F.array(ends), step), F.lit(0))
+    cut = rows.mapInArrow(run, ", ".join(["document_id string", "content binary", *[f"{c} string" for c in kept], f"_spans array<{SPAN}>"]))
+    if "metadata" in kept:
+        cut = cut.withColumn("metadata", F.parse_json("metadata"))
+    return _chunks(cut, F.col("_spans"))
 
 
 def sentence(documents: DataFrame, size: int = DEFAULT_SIZE, overlap: int = 0) -> DataFrame:
     """Groups of whole sentences; ``overlap`` counts sentences. With an overlap a
     last chunk repeats only what the one before carried over."""
-    size = size if size > 0 else DEFAULT_SIZE
-    return _chunks(documents, sentence_spans(F.col("content"), size, max(0, overlap)))
+    size, overlap = size if size > 0 else DEFAULT_SIZE, max(0, overlap)
+    lengths = F.transform(expr.sentences("content"), lambda s: F.octet_length(s))
+    return _walked(documents, lengths, lambda x: sentence_walk(x, size, overlap))
 
 
 def recursive_spans(data: bytes, size: int, separators: Sequence[bytes]) -> list[tuple[int, int]]:
@@ -136,22 +144,10 @@ def recursive(documents: DataFrame, size: int = DEFAULT_SIZE, overlap: int = 0,
     size, overlap = _sizes(size, overlap)
     marks = [s.encode() for s in (separators or SEPARATORS)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = []
-            for data in batch.column(1).to_pylist():
-                cuts = recursive_spans(data, size, marks) if data else []
-                spans.append([{"start_byte": max(a - overlap, 0) if i else a, "end_byte": b} for i, (a, b) in enumerate(cuts)])
-            kind = pa.list_(pa.struct([("start_byte", pa.int32()), ("end_byte", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "_spans"])
+    def walk(data: bytes) -> list[tuple[int, int]]:
+        return [(max(a - overlap, 0) if i else a, b) for i, (a, b) in enumerate(recursive_spans(data, size, marks))]
 
-    kept = _kept(documents)
-    carried = [F.to_json(c).alias(c) if c == "metadata" else F.col(c) for c in kept]
-    rows = documents.select(F.col("document_id").cast("string"), F.col("content").cast("binary").alias("content"), *carried)
-    cut = rows.mapInArrow(run, ", ".join(["document_id string", "content binary", *[f"{c} string" for c in kept], f"_spans array<{SPAN}>"]))
-    if "metadata" in kept:
-        cut = cut.withColumn("metadata", F.parse_json("metadata"))
-    return _chunks(cut, F.col("_spans"))
+    return _walked(documents, F.col("content").cast("binary"), walk)
 
 
 def semantic(documents: DataFrame, embed: Callable[[Column], Column], max_size: int = DEFAULT_MAX, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -192,8 +188,8 @@ def late(documents: DataFrame, embed: Callable[[Column], Column], size: int = DE
 
 def contextual(documents: DataFrame, context: Callable[[Column, Column], Column], size: int = DEFAULT_SIZE, overlap: int = 0) -> DataFrame:
     """Fixed windows with a prefix made from the document and the chunk."""
-    whole = documents.select(F.col("document_id").cast("string").alias("source_doc_id"), F.col("content").alias("_content"))
-    return fixed(documents, size, overlap).join(whole, "source_doc_id").withColumn("context_prefix", context(F.col("_content"), F.col("text"))).drop("_content")
+    size, overlap = _sizes(size, overlap)
+    return _chunks(documents, fixed_spans(F.col("content"), size, overlap), context)
 
 
 def proposition(documents: DataFrame, extract: Callable[[Column], Column]) -> DataFrame:

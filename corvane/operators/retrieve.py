@@ -301,17 +301,26 @@ def router(queries: DataFrame, routes: Sequence[Route]) -> DataFrame:
 
 
 def graph(facts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Facts by the share of a query's words that occur in "subject predicate object"."""
-    asked = queries.select("query_id", wanted().alias("_limit"), expr.tokens("text").alias("_terms")).where(F.size("_terms") > 0)
-    said = F.lower(F.concat_ws(" ", "subject", "predicate", "object"))
-    rows = facts.withColumn("_said", said).withColumn("as_text", expr.fact_text())
-
-    def run(block: DataFrame) -> DataFrame:
-        pairs = rows.crossJoin(F.broadcast(block))
-        hits = F.size(F.filter("_terms", lambda t: F.contains(F.col("_said"), t)))
-        return best(pairs.withColumn("score", hits.cast("double") / F.size("_terms")).where("score > 0"), F.col("_limit"))
+    """Facts, with unique ids, by the share of a query's words that occur in "subject
+    predicate object", as words or within words.
 
-    return units(_rounds(asked, run), unit_type="graph_fact", stage="graph")
+    Words have no blanks, so a query's word occurs in a fact if it occurs in one of
+    the fact's words. Of the facts' different words, all parts that are as long as
+    some query's word are matched with the queries' different words by equality.
+    """
+    asked = queries.select("query_id", wanted().alias("_limit"), expr.tokens("text").alias("_terms")).where(F.size("_terms") > 0)
+    terms = asked.select("query_id", "_limit", F.size("_terms").alias("_n"), F.explode("_terms").alias("_term")).groupBy("query_id", "_limit", "_n", "_term").agg(F.count("*").alias("_times"))
+    said = facts.select("unit_id", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "subject", "predicate", "object")), expr.BLANKS))).alias("_word")).where("_word <> ''")
+    known = terms.select("_term").distinct()
+    # a row a length of a word; words are few letters long
+    lengths = known.select(F.length("_term").alias("_length")).distinct().agg(F.collect_set("_length").alias("_lengths"))
+    words = said.select("_word").distinct().crossJoin(F.broadcast(lengths)).select("_word", F.explode("_lengths").alias("_length")).where(F.col("_length") <= F.length("_word"))
+    parts = words.select("_word", "_length", F.explode(F.sequence(F.lit(1), F.length("_word") - F.col("_length") + 1)).alias("_at"))
+    within = parts.select("_word", F.substring("_word", F.col("_at"), F.col("_length")).alias("_term")).join(known, "_term", "left_semi").distinct()
+    hits = said.join(within, "_word").select("unit_id", "_term").distinct().join(terms, "_term")
+    scored = hits.groupBy("query_id", "_limit", "unit_id").agg((F.sum("_times").cast("double") / F.first("_n")).alias("score"))
+    ranked = best(scored, F.col("_limit")).select("query_id", "unit_id", "rank", "score")
+    return units(ranked.join(facts.withColumn("as_text", expr.fact_text()), "unit_id"), unit_type="graph_fact", stage="graph")
 
 
 def small_to_big(found: DataFrame, parents: DataFrame) -> DataFrame:
@@ -339,9 +348,14 @@ def structured(spark: SparkSession, query_id: str, text: str, text_to_sql: Calla
     """Rows of a query written in SQL, in its order, each with score 1; ids count from 0."""
     rows = spark.sql(text_to_sql(text), args=args or {})
     columns = F.map_from_arrays(F.array(*[F.lit(c) for c in rows.columns]), F.array(*[F.col(f"`{c}`").cast("string") for c in rows.columns]))
+    # ids grow along the partitions, which follow the query's order: within a
+    # partition they count, and the sizes of the partitions before are added
     ordered = rows.select(columns.alias("columns"), F.monotonically_increasing_id().alias("_at"))
-    rank = F.row_number().over(Window.partitionBy(F.lit(query_id)).orderBy("_at"))
-    ranked = ordered.withColumn("rank", rank).select(F.lit(query_id).alias("query_id"), "rank", F.concat(F.lit("row-"), (F.col("rank") - 1).cast("string")).alias("unit_id"), F.lit(source_doc_id).alias("source_doc_id"), expr.row_text("columns").alias("as_text"), F.lit(1.0).alias("score"))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_before"))
+    ranked = ordered.join(F.broadcast(starts), part == F.col("_part")).withColumn("rank", F.col("_before") + within + 1).select(F.lit(query_id).alias("query_id"), "rank", F.concat(F.lit("row-"), (F.col("rank") - 1).cast("string")).alias("unit_id"), F.lit(source_doc_id).alias("source_doc_id"), expr.row_text("columns").alias("as_text"), F.lit(1.0).alias("score"))
     return units(ranked, unit_type="structured_row", stage="structured")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from ..operators.auth import Authorizer, Mode
 from ..sources.store import TableStore
 
 log = logging.getLogger("corvane")
+#: Subjects or tenants whose searches one plan holds.
+MOST_NAMES = 64
 
 
 @dataclass
@@ -50,8 +53,9 @@ class Pipeline:
 
     ``retriever`` takes (chunks, queries); ``reranker`` takes (found, queries).
     Post-filtering drops units after ranking, so fewer than asked for may remain.
-    Pre-filtering searches only what the subject may see, and hybrid mode does
-    that by tenant and filters by subject afterwards.
+    Pre-filtering searches only what each query's subject may see; a query without
+    a subject finds nothing. Hybrid mode searches only the chunks of the tenant
+    that a query names, whatever the retriever, and filters by subject afterwards.
     """
 
     def __init__(
@@ -92,17 +96,30 @@ class Pipeline:
         self._call("after_ingest", count, None)
         return count
 
+    def _each(self, chunks: DataFrame, queries: DataFrame, column: str, seen: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+        """The retriever's results for the queries of each subject or tenant, over the
+        chunks that it sees."""
+        names = [r[0] for r in queries.where(F.coalesce(F.col(column), F.lit("")) != "").select(column).distinct().limit(MOST_NAMES + 1).collect()]
+        if len(names) > MOST_NAMES:
+            raise ValueError(f"at most {MOST_NAMES} values of {column} at a time")
+        if not names:
+            return self.retriever(chunks.where(F.lit(False)), queries.where(F.lit(False)))
+        return reduce(DataFrame.unionByName, (self.retriever(seen(chunks, name), queries.where(F.col(column) == name)) for name in sorted(names)))
+
     def plan(self, queries: DataFrame, action: str = "read") -> DataFrame:
         """The lazy plan of ``retrieve``."""
-        chunks = self.store.chunks()
         authorizer = self.authorizer
-        if authorizer is not None and self.mode is not Mode.POST_FILTER:
+        if authorizer is None or self.mode is Mode.POST_FILTER:
+            found = self.retriever(self.store.chunks(), queries)
+        else:
+            chunks = self.store.chunks()
             if self.mode is Mode.PRE_FILTER:
-                subjects = [r["subject"] for r in queries.select("subject").distinct().limit(2).collect()]
-                if len(subjects) != 1 or not subjects[0]:
-                    raise ValueError("pre-filtering takes the queries of one subject at a time")
-                chunks = auth.permitted_chunks(chunks, subjects[0], authorizer, action)
-        found = self.retriever(chunks, queries)
+                found = self._each(chunks, queries, "subject", lambda chunks, who: auth.permitted_chunks(chunks, who, authorizer, action))
+            elif "tenant_id" not in queries.columns:
+                found = self.retriever(chunks, queries)
+            else:
+                named = F.coalesce(F.col("tenant_id"), F.lit("")) != ""
+                found = self._each(chunks, queries.where(named), "tenant_id", auth.tenant_chunks).unionByName(self.retriever(chunks, queries.where(~named)))
         if self.reranker is not None:
             self._call("before_rerank", found)
             found = self.reranker(found, queries)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import expr, serde
 from ..functions.expr import MetadataFilter
 from ..operators import auth, chunk, embed, evaluate, rerank, retrieve
+from ..sources import database, http, store
 from ..sources import documents as docs_source
-from ..sources import store
+from ..streaming import ingest
+from . import pipeline as plan
 from . import sql
 from .session import reachable, spread
 
@@ -122,7 +129,7 @@ def chunk_late(s, d):
 
 
 def chunk_contextual(s, d):
-    prefix = lambda content, text: F.substring(content, 1, 20)
+    prefix = lambda content, text: F.concat(F.lit("of "), F.octet_length(content).cast("string"), F.lit(" bytes"))
     chunks = chunk.contextual(_documents(s, d), prefix, 512, 64)
     return chunks.select("unit_id", "context_prefix", F.octet_length("data").alias("n_bytes"))
 
@@ -306,11 +313,11 @@ def structured_units(s, d):
 
 
 def web_results(s, d):
-    """Pages whose address holds the region's number, as results of a search."""
+    """The ten first pages of each region, as results of a search."""
     pages, region = _table(s, d, "pages"), _table(s, d, "region")
     hits = region.join(pages, F.col("page_id") % 5 == F.col("r_regionkey"))
     by = F.row_number().over(retrieve.Window.partitionBy("r_regionkey").orderBy("page_id")) - 1
-    found = hits.select(F.col("r_regionkey").cast("string").alias("query_id"), by.alias("at"), "url", F.lit("").alias("title"), F.substring("html", 1, 80).alias("snippet"))
+    found = hits.select(F.col("r_regionkey").cast("string").alias("query_id"), by.alias("at"), "url", F.lit("").alias("title"), F.col("html").alias("snippet")).where("at < 10")
     return retrieve.web_units(found).select("query_id", "rank", "unit_id", "source_doc_id", F.round("score", DIGITS).alias("score"), F.lower(F.sha2("as_text", 256)).alias("text_sha256"))
 
 
@@ -369,15 +376,19 @@ def auth_tenant(s, d):
 
 
 def _cases(s, d) -> DataFrame:
-    """Benchmark items with the documents of one source as relevant ones."""
-    ids = _documents(s, d).groupBy((F.substring("source", 4, 9).cast("int")).alias("number")).agg(F.collect_list("document_id").alias("relevant_document_ids"))
-    items = _table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("reference_answer"), (F.col("item_id") % 20).cast("int").alias("number"))
-    return items.join(ids, "number", "left").drop("number")
+    """Benchmark items as cases."""
+    return _table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("reference_answer"), F.lit(None).cast("array<string>").alias("relevant_document_ids"))
+
+
+def _relevant(s, d) -> DataFrame:
+    """The documents of one source are relevant to each item."""
+    items = _table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), (F.col("item_id") % 20).cast("int").alias("number"))
+    return _documents(s, d).select("document_id", F.substring("source", 4, 9).cast("int").alias("number")).join(items, "number").select("case_id", "document_id")
 
 
 def eval_precision_recall(s, d):
     index = retrieve.Bm25Index.build(_units(s, d))
-    out = evaluate.evaluate(_cases(s, d), lambda q: retrieve.bm25(index, q, digits=DIGITS))
+    out = evaluate.evaluate(_cases(s, d), lambda q: retrieve.bm25(index, q, digits=DIGITS), relevant=_relevant(s, d))
     return out.select("case_id", F.round("context_precision", DIGITS).alias("context_precision"), F.round("context_recall", DIGITS).alias("context_recall"))
 
 
@@ -386,14 +397,140 @@ def eval_context(s, d):
 
 
 def eval_judged(s, d):
-    """Answers are the first 40 characters of the context; the judge says how many
-    words the prompt has."""
+    """Answers say how many words the context has; the judge says how many the
+    prompt has."""
     index = retrieve.Bm25Index.build(_units(s, d))
-    judge = lambda prompt: F.concat(F.lit("Score: "), F.size(F.split(prompt, " ")).cast("string"))
-    out = evaluate.evaluate(_cases(s, d), lambda q: retrieve.bm25(index, q, digits=DIGITS), 10, lambda q, c: F.substring(c, 1, 40), judge)
+    words = lambda text: F.size(F.split(text, " ")).cast("string")
+    answer = lambda question, context: F.concat(F.lit("It has "), words(context), F.lit(" words."))
+    judge = lambda prompt: F.concat(F.lit("Score: "), words(prompt))
+    out = evaluate.evaluate(_cases(s, d), lambda q: retrieve.bm25(index, q, digits=DIGITS), 10, answer, judge)
     return out.select("case_id", "answer", "faithfulness", "relevance")
 
 
+def score_history(s, d):
+    """Every entry of the fused results' provenance."""
+    found = retrieve.hybrid(_questions(s, d), _lists(s, d), digits=DIGITS)
+    return found.select("query_id", "unit_id", F.posexplode("scores").alias("at", "entry")).select("query_id", "unit_id", "at", F.col("entry.stage").alias("stage"), F.round("entry.score", DIGITS).alias("score"))
+
+
+def auth_grants(s, d):
+    """Documents in English are granted to user0 too, and those of source 10 revoked from it."""
+    documents = _documents(s, d)
+    more = documents.where("lang = 'en'").select(F.lit("user0").alias("subject"), F.col("document_id").alias("resource"))
+    less = documents.where("source = 'src10'").select(F.lit("user0").alias("subject"), F.col("document_id").alias("resource"))
+    return _ranked(auth.post_filter(_bm25(s, d), _subjects(s, d), auth.Allowlist(_grants(s, d)).grant(more).revoke(less)))
+
+
+def auth_everything(s, d):
+    """Nothing is filtered where everything is permitted."""
+    return _ranked(auth.post_filter(_bm25(s, d), _subjects(s, d), auth.Noop()))
+
+
+def vector_codec(s, d):
+    """Vectors as texts and back, and their numbers as floats."""
+    rows = _vectors(s, d).select("unit_id", expr.vector_from(expr.vector_literal("vector")).alias("vector"))
+    return rows.select("unit_id", F.size("vector").alias("n"), F.round(F.aggregate(F.transform(expr.narrow("vector"), lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def metadata_codec(s, d):
+    """Chunks as rows of texts and back; damaged vectors leave, damaged metadata is null."""
+    chunks = _with_variant(s, d).select(F.col("document_id").alias("unit_id"), F.array(F.col("doc_id").cast("float"), F.lit(0.5).cast("float")).alias("vector"), "metadata", "lang", "doc_id")
+    stored = store.to_json_rows(chunks).withColumn("vector", F.when(F.col("lang") == "de", "[1,").otherwise(F.col("vector"))).withColumn("metadata", F.when(F.col("lang") == "fr", "{").otherwise(F.col("metadata")))
+    back = store.from_json_rows(stored)
+    return back.select("unit_id", F.element_at("vector", 1).cast("long").alias("first"), F.try_variant_get("metadata", "$.source", "string").alias("source"), F.try_variant_get("metadata", "$.number", "long").alias("number"))
+
+
+FILTERS = [MetadataFilter("lang", "eq", "f'r"), MetadataFilter("n", "eq", 4), MetadataFilter("on", "eq", True), MetadataFilter("lang", "in", ["en", "fr"]), MetadataFilter("tags", "any_of", ["a", "b"]), MetadataFilter("x", "like", "y"), MetadataFilter("lang", "eq", ["en"])]
+
+
+def filter_translations(s, d):
+    """Filters as a database and a vector service read them."""
+    rows = [(i, store.jdbc_predicate(f), json.dumps(http.point_filter(f), sort_keys=True)) for i, f in enumerate(FILTERS)]
+    return s.createDataFrame(rows, "number int, predicate string, condition string")
+
+
+def chunk_tables(s, d):
+    """What makes an empty chunk table, by dialect."""
+    return s.createDataFrame([(x, store.ddl("notes", 3, x)) for x in ("pgvector", "sqlite", "spark")], "dialect string, statement string")
+
+
+def web_search(s, d):
+    """A search that answers with the query's words, asked on the executors."""
+
+    def search(text: str, k: int) -> list[tuple[str, str, str]]:
+        return [(f"web://{w}/{i}", w, text) for i, w in enumerate(text.split(" ")[:k])]
+
+    asked = _table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("query_id"), F.concat_ws(" ", "n_name", F.lit("seen"), "n_name").alias("text"), F.lit(2).alias("top_k"))
+    return retrieve.web(asked, search).select("query_id", "rank", "unit_id", "source_uri", "as_text", F.round("score", DIGITS).alias("score"))
+
+
+# the pipeline and its store
+
+
+def _pipeline(s, d, **settings) -> plan.Pipeline:
+    """Fixed chunks with letter vectors in a store of its own, searched by vector."""
+    kept = store.TableStore(s, f"notes_{uuid.uuid4().hex}")
+    return plan.Pipeline(lambda docs: chunk.fixed(docs, 1024, 0), embed.letter_frequency, kept, lambda chunks, asked: retrieve.vector(chunks, asked, embed.letter_frequency, digits=DIGITS), **settings)
+
+
+def _notes(s, d) -> DataFrame:
+    return _documents(s, d).withColumn("tenant_id", F.col("source"))
+
+
+def _stored(made: plan.Pipeline) -> DataFrame:
+    return made.store.chunks().select("unit_id", "source_doc_id", F.octet_length("data").alias("n_bytes"))
+
+
+def pipeline_ingest(s, d):
+    """Documents are ingested, the beginnings of French ones again, and some of one
+    source deleted; hooks count the chunks."""
+    counts: list[int] = []
+    made = _pipeline(s, d, hooks=[plan.log_hook(), plan.Hook(after_ingest=lambda n, error: counts.append(n))])
+    made.ingest(_notes(s, d))
+    made.ingest(_notes(s, d).where("lang = 'fr'").withColumn("content", F.concat(F.lit("again "), F.substring("content", 1, 700))))
+    made.delete([r["document_id"] for r in _notes(s, d).where("source = 'src3' and lang = 'en'").select("document_id").collect()])
+    return _stored(made).withColumn("n_ingested", F.lit(sum(counts)).cast("long"))
+
+
+def pipeline_tenants(s, d):
+    """In hybrid mode each query sees its tenant's chunks alone, whatever the retriever,
+    and of those only what its subject may see."""
+    made = _pipeline(s, d, authorizer=auth.Allowlist(_notes(s, d).where("lang <> 'de'").select(F.lit("reader").alias("subject"), F.col("document_id").alias("resource"))), mode=auth.Mode.HYBRID)
+    made.ingest(_notes(s, d))
+    made.retriever = lambda chunks, asked: retrieve.vector(chunks.drop("tenant_id"), asked, embed.letter_frequency, digits=DIGITS)  # one that knows no tenants
+    asked = _questions(s, d).withColumn("tenant_id", F.concat(F.lit("src"), (F.col("query_id").cast("long") % 3).cast("string"))).withColumn("subject", F.lit("reader"))
+    return made.plan(asked).select("query_id", "rank", "unit_id", F.round("score", DIGITS).alias("score"))
+
+
+def pipeline_subjects(s, d):
+    """Pre-filtering for several subjects: each searches what it may see."""
+    made = _pipeline(s, d, authorizer=auth.Allowlist(_grants(s, d)), mode=auth.Mode.PRE_FILTER)
+    made.ingest(_notes(s, d))
+    return made.plan(_subjects(s, d)).select("query_id", "rank", "unit_id", F.round("score", DIGITS).alias("score"))
+
+
+def stream_ingest(s, d):
+    """Documents that arrive as files are chunked and stored. The path is a pattern, so
+    that it may name a file as well as a folder."""
+    kept = store.TableStore(s, f"stream_{uuid.uuid4().hex}")
+    arriving = ingest.document_stream(reachable(s), f"{d}/document[s].parquet", "doc_id long, text string").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"))
+    ingest.ingest_stream(arriving, lambda docs: chunk.fixed(docs, 2048, 0), kept, f"{kept.location}/progress").awaitTermination()
+    return kept.chunks().select("unit_id", "source_doc_id", F.octet_length("data").alias("n_bytes"))
+
+
+def database_store(s, d):
+    """Chunks in a database: stored, French ones stored again, one source deleted, and
+    the ten nearest to a vector found by scanning."""
+    path = f"{tempfile.mkdtemp()}/notes.db"
+    kept = database.DatabaseStore(s, functools.partial(sqlite3.connect, path, timeout=60), "notes", 26, "sqlite")
+    kept.ensure()
+    rows = embed.embed_chunks(_units(s, d), embed.letter_frequency)
+    kept.store(rows.withColumn("metadata", F.parse_json(F.to_json(F.struct("lang")))))
+    kept.store(rows.where("lang = 'fr'").withColumn("text", F.concat(F.lit("again "), F.col("text"))).withColumn("metadata", F.parse_json(F.lit("{}"))))
+    kept.delete_documents([r["source_doc_id"] for r in rows.where("source = 'src3'").select("source_doc_id").collect()])
+    return kept.chunks().select("unit_id", F.sha2("text", 256).alias("text_sha256"), F.try_variant_get("metadata", "$.lang", "string").alias("lang"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).cast("long").alias("letters"))
+
+
 # stores and units
 
 
@@ -430,6 +567,8 @@ NAMES = (
     knn_batch, knn_filtered, knn_topk, filter_eq, filter_in, filter_any_of, filter_all, filter_missing, filter_events,
     vector_letters, hybrid_rrf, ensemble, router, graph_match, fact_text, small_to_big, structured_sql, structured_units, web_results,
     litm_reorder, crossencoder, auth_post, auth_pre, auth_roles, auth_tenant, eval_precision_recall, eval_context, eval_judged, upsert, delete_docs, unit_envelope,
+    score_history, auth_grants, auth_everything, vector_codec, metadata_codec, filter_translations, chunk_tables, web_search,
+    pipeline_ingest, pipeline_tenants, pipeline_subjects, stream_ingest, database_store,
 )
 
 

@@ -16,9 +16,15 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: A session's setting: into how many parts documents are dealt as they are read.
+PARTS = "corvane.documents.parts"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table that the scan reads in fewer parts than there are cores, dealt to all of
-    them; larger tables stay as they are. One small file is one part otherwise, and
-    whatever is computed for its rows runs on one core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    """The rows dealt to as many parts as the session says, or as they were read.
+
+    A file of one row group is one part, and whatever is computed for its rows
+    runs on one core; whoever knows that the files are such can set PARTS.
+    """
+    parts = df.sparkSession.conf.get(PARTS, None)
+    return df.repartition(int(parts)) if parts else df

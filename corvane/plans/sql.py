@@ -61,12 +61,12 @@ v AS (
 """
 
 
-def fixed(size: int, overlap: int, where: str = "true") -> str:
+def fixed(size: int, overlap: int, where: str = "true", text: str = "text") -> str:
     """CTEs up to i: windows k with their bytes."""
     step = size - overlap
-    return f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, encode(text) AS b, octet_length(encode(text)) AS n FROM documents WHERE {where}),
+    return f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, lang, source, encode({text}) AS b, octet_length(encode({text})) AS n FROM documents WHERE {where}),
     k AS (SELECT *, unnest(range(0, 1 + CAST(ceil(greatest(n - {size}, 0) / {step}) AS BIGINT))) AS k FROM d WHERE n > 0),
-    i AS (SELECT id || '-' || k AS unit_id, id AS source_doc_id, text, (k * {step})::INT AS start_byte, least(k * {step} + {size}, n)::INT AS end_byte, b[k * {step} + 1:least(k * {step} + {size}, n)] AS data FROM k)"""
+    i AS (SELECT id || '-' || k AS unit_id, id AS source_doc_id, text, lang, source, n, (k * {step})::INT AS start_byte, least(k * {step} + {size}, n)::INT AS end_byte, b[k * {step} + 1:least(k * {step} + {size}, n)] AS data FROM k)"""
 
 
 SPANS = "unit_id, source_doc_id, start_byte, end_byte, lower(hex(data)) AS data"
@@ -87,6 +87,62 @@ def sentence(size: int, overlap: int) -> str:
     SELECT w.id || '-' || k AS unit_id, w.id AS source_doc_id, ends[i + 1]::INT AS start_byte, ends[j + 1]::INT AS end_byte, lower(hex(b[ends[i + 1]::BIGINT + 1:ends[j + 1]::BIGINT])) AS data FROM w JOIN e USING (id)"""
 
 
+def recursive(size: int, overlap: int) -> str:
+    """Level by level: ranges r that are still too long are cut behind each separator
+    (p), and neighbours joined while they fit (w)."""
+    steps = []
+    for level, mark in enumerate(("chr(10) || chr(10)", "chr(10)", "'. '", "' '")):
+        reach = lambda i: f"greatest({i} + 1, len(list_filter(ends, lambda x: x <= ends[{i} + 1] + {size})) - 1)"
+        steps.append(f"""s{level} AS (
+          SELECT id, low, high, string_split(decode(b[low + 1:high]), {mark}) AS parts FROM r{level} JOIN d USING (id) WHERE high - low > {size}
+        ), l{level} AS (
+          SELECT id, low, high, list_filter([octet_length(encode(x)) + CASE WHEN i < len(parts) THEN length({mark}) ELSE 0 END FOR x, i IN parts], lambda x: x > 0) AS lengths FROM s{level}
+        ), p{level} AS (
+          SELECT id, low, high, len(lengths) AS n, [low + coalesce(list_sum(lengths[1:k]), 0)::BIGINT FOR k IN range(0, len(lengths) + 1)] AS ends FROM l{level} WHERE len(lengths) > 1
+        ), w{level}(id, low, i, j) AS (
+          SELECT id, low, 0::BIGINT, {reach('0')} FROM p{level}
+          UNION ALL
+          SELECT w{level}.id, w{level}.low, w{level}.j, {reach(f'w{level}.j')} FROM w{level} JOIN p{level} USING (id, low) WHERE w{level}.j < n
+        ), r{level + 1} AS (
+          SELECT id, ends[i + 1] AS low, ends[j + 1] AS high FROM w{level} JOIN p{level} USING (id, low)
+          UNION ALL
+          SELECT id, low, high FROM r{level} ANTI JOIN p{level} USING (id, low)
+        )""")
+    last = len(steps)
+    return f"""WITH RECURSIVE d AS (
+      SELECT CAST(doc_id AS VARCHAR) AS id, encode(text) AS b FROM documents
+    ), r0 AS (
+      SELECT id, 0::BIGINT AS low, octet_length(b)::BIGINT AS high FROM d WHERE octet_length(b) > 0
+    ), {", ".join(steps)}, c AS (
+      SELECT id, low, high FROM r{last} WHERE high - low <= {size}
+      UNION ALL
+      SELECT id, pos AS low, least(pos + {size}, high) AS high FROM (SELECT id, high, unnest(range(low, high, {size})) AS pos FROM r{last} WHERE high - low > {size})
+    ), k AS (
+      SELECT id, low, high, row_number() OVER (PARTITION BY id ORDER BY low) - 1 AS k FROM c
+    ), i AS (
+      SELECT id, id || '-' || k AS unit_id, CASE WHEN k > 0 THEN greatest(low - {overlap}, 0) ELSE low END AS start_byte, high AS end_byte FROM k
+    ) SELECT unit_id, id AS source_doc_id, start_byte::INT AS start_byte, end_byte::INT AS end_byte, lower(hex(b[start_byte + 1:end_byte])) AS data FROM i JOIN d USING (id)"""
+
+
+#: Letters of chunks, from their bytes.
+BYTE_LETTERS = "[" + ", ".join(f"len(list_filter(pairs, lambda h: h = '{ord(c):02X}' OR h = '{ord(c.upper()):02X}'))::DOUBLE" for c in string.ascii_lowercase) + "]"
+
+
+def stored_search(where: str, keep: str = "true") -> str:
+    """The chunks nearest by letters to each item, of those that it sees."""
+    return f"""{fixed(1024, 0)}, h AS (
+      SELECT unit_id, source, lang, regexp_extract_all(hex(data), '..') AS pairs FROM i
+    ), y AS (
+      SELECT unit_id, source, lang, {BYTE_LETTERS} AS e FROM h
+    ), x AS (
+      SELECT CAST(item_id AS VARCHAR) AS query_id, item_id, {letters('text')} AS e FROM benchmark
+    ), z AS (
+      SELECT query_id, unit_id, lang, round({cosine('x.e', 'y.e')}, 6) AS score FROM x JOIN y ON {where}
+    ), r AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM z
+    ) {RANKED} r WHERE rank <= 10 AND {keep}"""
+
+
 SEMANTIC = f"""
 WITH RECURSIVE {SENTENCES}, o AS (
   SELECT id, unnest(said) AS said, unnest(range(0, len(said))) AS pos FROM t
@@ -147,8 +203,10 @@ ORACLES = {
     "chunk_sentence": sentence(512, 0),
     "chunk_sentence_overlap": sentence(256, 2),
     "chunk_semantic": SEMANTIC,
+    "chunk_recursive": recursive(512, 0),
+    "chunk_recursive_overlap": recursive(400, 50),
     "chunk_late": f"{fixed(512, 64)} SELECT unit_id, true AS late, len(list_filter(regexp_extract_all(hex(data), '..'), lambda h: h BETWEEN '41' AND '5A' OR h BETWEEN '61' AND '7A')) AS letters FROM i",
-    "chunk_contextual": f"{fixed(512, 64)} SELECT unit_id, substring(text, 1, 20) AS context_prefix, octet_length(data)::INT AS n_bytes FROM i",
+    "chunk_contextual": f"{fixed(512, 64)} SELECT unit_id, 'of ' || n || ' bytes' AS context_prefix, octet_length(data)::INT AS n_bytes FROM i",
     "chunk_proposition": f"SELECT id || '-' || k AS unit_id, id AS source_doc_id, said AS text, n AS end_byte FROM (SELECT CAST(doc_id AS VARCHAR) AS id, octet_length(encode(text))::INT AS n, unnest({sentences('text')}) AS said, unnest(range(0, len({sentences('text')}))) AS k FROM documents)",
     "bm25_tf": f"WITH {UNITS}, {POSTINGS} SELECT term, unit_id, tf FROM p",
     "bm25_df": f"WITH {UNITS}, {POSTINGS} SELECT term, df FROM f",
@@ -186,8 +244,8 @@ ORACLES = {
     ) SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY pos))::INT AS rank, parent_id AS unit_id, score FROM g""",
     "structured_units": """SELECT 'q1' AS query_id, (row_number() OVER (ORDER BY c_mktsegment))::INT AS rank, 'row-' || (row_number() OVER (ORDER BY c_mktsegment) - 1) AS unit_id, 'warehouse' AS source_doc_id,
         '[row] n: ' || count(*) || ', segment: ' || c_mktsegment AS as_text, 1.0::DOUBLE AS score FROM customer GROUP BY c_mktsegment""",
-    "web_results": """SELECT CAST(r_regionkey AS VARCHAR) AS query_id, pos::INT AS rank, url AS unit_id, 'web' AS source_doc_id, round(1 - 0.01 * (pos - 1), 6)::DOUBLE AS score, sha256(substring(html, 1, 80)) AS text_sha256
-        FROM (SELECT r_regionkey, url, html, row_number() OVER (PARTITION BY r_regionkey ORDER BY page_id) AS pos FROM region JOIN pages ON page_id % 5 = r_regionkey)""",
+    "web_results": """SELECT CAST(r_regionkey AS VARCHAR) AS query_id, pos::INT AS rank, url AS unit_id, 'web' AS source_doc_id, round(1 - 0.01 * (pos - 1), 6)::DOUBLE AS score, sha256(html) AS text_sha256
+        FROM (SELECT r_regionkey, url, html, row_number() OVER (PARTITION BY r_regionkey ORDER BY page_id) AS pos FROM region JOIN pages ON page_id % 5 = r_regionkey) WHERE pos <= 10""",
     "litm_reorder": f"""{bm25()}, x AS (SELECT *, rank - 1 AS k, count(*) OVER (PARTITION BY query_id) AS n FROM r)
         SELECT query_id, (1 + CASE WHEN k % 2 = 0 THEN k // 2 ELSE n - 1 - k // 2 END)::INT AS rank, unit_id, score FROM x""",
     "crossencoder": f"""{bm25()}, o AS (
@@ -202,7 +260,7 @@ ORACLES = {
         SELECT q.query_id AS case_id, CASE WHEN z.n IS NOT NULL THEN coalesce(round(avg(m.hit::INT), 6), 0) END AS context_precision, round(coalesce(sum(m.hit::INT), 0) / z.n, 6) AS context_recall
         FROM q LEFT JOIN m USING (query_id) LEFT JOIN z ON z.number = q.item_id % 20 GROUP BY q.query_id, z.n""",
     "eval_context": f"{bm25()}, {CONTEXT} SELECT query_id AS case_id, sha256(context) AS context_sha256 FROM k WHERE context <> ''",
-    "eval_judged": f"""{bm25()}, {CONTEXT}, x AS (SELECT query_id AS case_id, text, context, substring(context, 1, 40) AS answer FROM k)
+    "eval_judged": f"""{bm25()}, {CONTEXT}, x AS (SELECT query_id AS case_id, text, context, 'It has ' || len(string_split(context, ' ')) || ' words.' AS answer FROM k)
         SELECT case_id, answer,
           len(string_split('Rate from 0 to 1 how far the context supports the answer.' || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Answer:' || chr(10) || answer || chr(10) || chr(10) || 'Score:', ' '))::DOUBLE AS faithfulness,
           len(string_split('Rate from 0 to 1 how well the answer responds to the question.' || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Answer:' || chr(10) || answer || chr(10) || chr(10) || 'Score:', ' '))::DOUBLE AS relevance FROM x""",
@@ -211,4 +269,37 @@ ORACLES = {
         UNION ALL SELECT unit_id, source_doc_id, octet_length(data)::INT FROM ({fixed(1024, 0, "lang = 'fr'")} SELECT * FROM i)""",
     "delete_docs": f"""{fixed(2048, 0, "source NOT IN ('src3', 'src5')")} SELECT unit_id, source_doc_id, octet_length(data)::INT AS n_bytes FROM i""",
     "unit_envelope": f"WITH {FACTS} SELECT 'graph_fact' AS unit_type, unit_id, subject AS said FROM t UNION ALL SELECT 'chunk', CAST(doc_id AS VARCHAR), sha256(text) FROM documents",
+    "score_history": f"""{bm25()}, {NEAR}, b AS (
+        SELECT query_id, unit_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, unit_id, rank FROM r UNION ALL SELECT query_id, unit_id, rank FROM v) GROUP BY ALL
+    ), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM b)
+    SELECT x.query_id, x.unit_id, 0 AS "at", CASE WHEN r.unit_id IS NULL THEN 'vector' ELSE 'bm25' END AS stage, coalesce(r.score, v.score) AS score
+    FROM x LEFT JOIN r ON r.query_id = x.query_id AND r.unit_id = x.unit_id LEFT JOIN v ON v.query_id = x.query_id AND v.unit_id = x.unit_id WHERE x.rank <= 10
+    UNION ALL SELECT query_id, unit_id, 1, 'rrf_fusion', score FROM x WHERE rank <= 10""",
+    "auth_grants": f"""{bm25()} SELECT r.query_id, r.rank::INT AS rank, r.unit_id, r.score FROM r JOIN u USING (unit_id)
+        WHERE (CAST(substr(u.source, 4) AS INT) % 5 = CAST(r.query_id AS BIGINT) % 5 OR ({SUBJECT} = 'user0' AND u.lang = 'en')) AND NOT ({SUBJECT} = 'user0' AND u.source = 'src10')""",
+    "auth_everything": f"{bm25()} {RANKED} r",
+    "vector_codec": f"WITH {VECTORS} SELECT unit_id, len(e)::INT AS n, round(list_sum(e), 4) AS total FROM v",
+    "metadata_codec": "SELECT CAST(doc_id AS VARCHAR) AS unit_id, doc_id AS first, CASE WHEN lang <> 'fr' THEN source END AS source, CASE WHEN lang <> 'fr' THEN doc_id END AS number FROM documents WHERE lang <> 'de'",
+    "filter_translations": r"""SELECT * FROM (VALUES
+        (0, $$metadata ->> 'lang' = 'f''r'$$, '{"must": [{"key": "lang", "match": {"value": "f''r"}}]}'),
+        (1, $$metadata ->> 'n' = '4'$$, '{"must": [{"key": "n", "match": {"value": 4}}]}'),
+        (2, $$metadata ->> 'on' = 'true'$$, '{"must": [{"key": "on", "match": {"value": true}}]}'),
+        (3, $$metadata ->> 'lang' = ANY(ARRAY['en', 'fr']::text[])$$, '{"must": [{"key": "lang", "match": {"any": ["en", "fr"]}}]}'),
+        (4, $$metadata -> 'tags' ?| ARRAY['a', 'b']::text[]$$, '{"must": [{"key": "tags", "match": {"any": ["a", "b"]}}]}'),
+        (5, 'FALSE', 'null'),
+        (6, 'FALSE', '{"must": [{"key": "lang", "match": {"value": ["en"]}}]}')) t(number, predicate, condition)""",
+    "chunk_tables": """SELECT * FROM (VALUES
+        ('pgvector', 'CREATE TABLE IF NOT EXISTS notes (unit_id TEXT PRIMARY KEY, source_doc_id TEXT NOT NULL, source_uri TEXT, text TEXT NOT NULL, metadata JSONB, vector vector(3))'),
+        ('sqlite', 'CREATE TABLE IF NOT EXISTS notes (unit_id TEXT PRIMARY KEY, source_doc_id TEXT NOT NULL, source_uri TEXT, text TEXT NOT NULL, metadata TEXT, vector TEXT)'),
+        ('spark', 'CREATE TABLE IF NOT EXISTS notes (unit_id STRING, source_doc_id STRING, source_uri STRING, text STRING, metadata VARIANT, vector ARRAY<FLOAT>) USING parquet')) t(dialect, statement)""",
+    "web_search": """WITH q AS (SELECT CAST(n_nationkey AS VARCHAR) AS query_id, n_name || ' seen ' || n_name AS text FROM nation), w AS (SELECT query_id, text, unnest(string_split(text, ' ')[1:2]) AS w, unnest(range(0, 2)) AS k FROM q)
+        SELECT query_id, (k + 1)::INT AS rank, 'web://' || w || '/' || k AS unit_id, 'web://' || w || '/' || k AS source_uri, text AS as_text, round(1 - 0.01 * k, 6)::DOUBLE AS score FROM w""",
+    "pipeline_ingest": f"""WITH a AS ({fixed(1024, 0)} SELECT unit_id, source_doc_id, data, lang, source FROM i), b AS ({fixed(1024, 0, "lang = 'fr'", "'again ' || substring(text, 1, 700)")} SELECT unit_id, source_doc_id, data, lang, source FROM i)
+        SELECT unit_id, source_doc_id, octet_length(data)::INT AS n_bytes, (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS n_ingested
+        FROM (SELECT * FROM a WHERE lang <> 'fr' UNION ALL SELECT * FROM b) WHERE NOT (source = 'src3' AND lang = 'en')""",
+    "pipeline_tenants": stored_search("y.source = 'src' || (x.item_id % 3)", "lang <> 'de'"),
+    "pipeline_subjects": stored_search("CAST(substr(y.source, 4) AS INT) % 5 = x.item_id % 5"),
+    "stream_ingest": f"{fixed(2048, 0)} SELECT unit_id, source_doc_id, octet_length(data)::INT AS n_bytes FROM i",
+    "database_store": f"""SELECT CAST(doc_id AS VARCHAR) AS unit_id, sha256(CASE WHEN lang = 'fr' THEN 'again ' || text ELSE text END) AS text_sha256, CASE WHEN lang <> 'fr' THEN lang END AS lang, list_sum({letters('text')})::BIGINT AS letters
+        FROM documents WHERE source <> 'src3'""",
 }
