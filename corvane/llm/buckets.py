@@ -150,7 +150,8 @@ def join_by_buckets(members: DataFrame, likely: Test, exact: Callable[[DataFrame
     some = by_group(met, ["bucket", "bi", "bj"], _likely(likely), "key binary, bucket long", pa.schema([("key", pa.binary()), ("bucket", pa.int64())]))
     some = stash(some.distinct(), "likely")
     weighed = some.join(held.select("key", "weight"), "key")
-    blocks = weighed.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / EXACT_ROWS), F.ceil(F.sum("weight") / EXACT_WEIGHT), F.lit(1)).cast("int").alias("blocks"))
+    # a written table, so that a large bucket's join may be split
+    blocks = stash(weighed.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / EXACT_ROWS), F.ceil(F.sum("weight") / EXACT_WEIGHT), F.lit(1)).cast("int").alias("blocks")), "blocks")
     going = some.join(blocks, "bucket").groupBy("key").agg(F.collect_list(F.struct("bucket", "blocks")).alias("where"))
     mine = held.select("key", "rep", "n", F.col("where.bucket").alias("mine"))
     ready = exact(going.join(mine, "key"))
