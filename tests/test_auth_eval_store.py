@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import functools
 import json
+import sqlite3
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -11,7 +13,7 @@ from corvane.functions.expr import MetadataFilter
 from corvane.operators import auth, chunk, embed, evaluate, retrieve
 from corvane.operators.auth import Allowlist, Mode, Noop, RoleBased
 from corvane.plans.pipeline import Hook, Pipeline, log_hook
-from corvane.sources import documents, http, store
+from corvane.sources import database, documents, http, store
 from corvane.streaming import ingest
 
 
@@ -253,3 +255,41 @@ def test_relationship_service(spark, server):
     assert sorted(x.resource for x in r.grants(spark, ["user:a"]).collect()) == ["1", "2"]
     with pytest.raises(ValueError):
         http.RelationshipService("", "s")
+
+
+def test_tenants_in_hybrid_mode(spark, tmp_path):
+    """A retriever that knows no tenants is kept to the query's own."""
+    p = rag(spark, tmp_path, authorizer=Allowlist(pairs(spark, [("u", "doc1"), ("u", "doc2"), ("u", "doc3")])), mode=Mode.HYBRID)
+    p.ingest(corpus(spark).withColumn("tenant_id", F.when(F.col("document_id") == "doc3", "b").otherwise("a")))
+    p.retriever = lambda c, q: retrieve.vector(c.drop("tenant_id"), q.drop("tenant_id"), embed.letter_frequency)
+    queries = spark.createDataFrame([("q1", "aaa", 2, "u", "a"), ("q2", "aaa", 2, "u", "b"), ("q3", "aaa", 4, "u", None), ("q4", "aaa", 9, "nobody", "a")], "query_id string, text string, top_k int, subject string, tenant_id string")
+    got = [(r.query_id, r.unit_id) for r in p.retrieve(queries)]
+    assert got == [("q1", "doc1-0"), ("q1", "doc1-1"), ("q2", "doc3-0"), ("q3", "doc1-0"), ("q3", "doc1-1"), ("q3", "doc3-0"), ("q3", "doc2-0")]
+
+
+def test_subjects_in_pre_filter_mode(spark, tmp_path):
+    p = rag(spark, tmp_path, authorizer=Allowlist(pairs(spark, [("u", "doc1"), ("v", "doc2")])), mode=Mode.PRE_FILTER)
+    p.ingest(corpus(spark))
+    queries = spark.createDataFrame([("q1", "aaa", 9, "u"), ("q2", "aaa", 9, "v"), ("q3", "aaa", 9, None)], "query_id string, text string, top_k int, subject string")
+    assert [(r.query_id, r.unit_id) for r in p.retrieve(queries)] == [("q1", "doc1-0"), ("q1", "doc1-1"), ("q2", "doc2-0")]
+
+
+def test_database_store(spark, tmp_path):
+    kept = database.DatabaseStore(spark, functools.partial(sqlite3.connect, str(tmp_path / "a.db"), timeout=60), "notes", 2, "sqlite")
+    kept.ensure()
+    kept.ensure()
+    make = lambda rows: spark.createDataFrame(rows, "unit_id string, source_doc_id string, text string, vector array<float>, lang string").withColumn("metadata", F.parse_json(F.to_json(F.struct("lang"))))
+    kept.store(make([(f"c{i}", f"d{i % 3}", f"it's {i}", [1.0, float(i)], "en") for i in range(1200)]))
+    kept.store(make([("c1", "d1", "new", [0.0, 1.0], "fr"), ("x", "d9", "more", None, None)]))
+    rows = {r.unit_id: r for r in kept.chunks().select("unit_id", "text", "vector", F.to_json("metadata").alias("m")).collect()}
+    assert len(rows) == 1201 and rows["c1"].text == "new" and rows["c2"].vector == [1.0, 2.0] and rows["c1"].m == '{"lang":"fr"}'
+    assert [r.unit_id for r in kept.search([0.0, 1.0], 1).collect()] == ["c1"]
+    assert [r.unit_id for r in kept.search([1.0, 0.0], 2, [MetadataFilter("lang", "eq", "fr")]).collect()] == ["c1"]
+    kept.delete(["c1", "absent"])
+    kept.delete_documents(["d0", "d'"])
+    kept.replace_documents(make([("y", "d1", "only", [1.0, 1.0], "en")]))
+    left = [r.unit_id for r in kept.chunks().collect()]
+    assert sorted(left)[-2:] == ["x", "y"] and len(left) == 402
+    assert database.upsert_statement("t", "pgvector").startswith("INSERT INTO t (unit_id, source_doc_id, source_uri, text, metadata, vector) VALUES (%s, %s, %s, %s, %s::jsonb, %s::vector) ON CONFLICT (unit_id) DO UPDATE SET source_doc_id = excluded.source_doc_id")
+    with pytest.raises(ValueError):
+        database.DatabaseStore(spark, None, "t; drop", 2)

@@ -157,3 +157,9 @@ def test_embedders(spark):
     assert sum(hashed) == 3 and len(hashed) == 8
     held = df.withColumn("vector", F.when(F.col("unit_id") == "a", F.array(F.lit(9.0)).cast("array<float>")))
     assert [r.vector for r in embed.embed_chunks(held, calls).orderBy("unit_id").collect()] == [[9.0], [3.0, 1.0]]
+
+
+def test_many_sentences_take_linear_time():
+    lengths = [7] * 400_000
+    spans = chunk.sentence_walk(lengths, 512, 2)
+    assert spans[0] == (0, 511) and spans[1][0] == 511 - 14 and spans[-1][1] == 7 * 400_000

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,25 @@ def test_lost_in_the_middle(spark, n, want):
     rows = rerank.lost_in_the_middle(ranked(spark, [(str(i), 1 - i / 10) for i in range(n)])).orderBy("rank").collect()
     assert [int(r.unit_id) for r in rows] == want and [r.rank for r in rows] == list(range(1, n + 1))
     assert all(r.scores[-1].stage == "litm_reorder" and r.scores[-1].score == r.scores[-2].score for r in rows)
+
+
+def test_graph_equals_all_pairs(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abÉ") for _ in range(rng.randrange(1, 5)))
+    facts = [(f"f{i}", " ".join(word() for _ in range(3)), word(), word()) for i in range(60)]
+    asked = [(f"q{i}", " ".join(word() for _ in range(rng.randrange(4))), 100) for i in range(20)]
+    got = retrieve.graph(spark.createDataFrame(facts, "unit_id string, subject string, predicate string, object string"), spark.createDataFrame(asked, "query_id string, text string, top_k int")).collect()
+    want = {}
+    for q, text, _ in asked:
+        for f, *said in facts:
+            terms = text.lower().split()
+            hits = sum(t in " ".join(said).lower() for t in terms)
+            if hits:
+                want[q, f] = hits / len(terms)
+    assert {(r.query_id, r.unit_id): pytest.approx(r.score) for r in got} == want
+
+
+def test_rows_of_many_partitions_keep_their_order(spark):
+    spark.range(0, 1000, 1, 7).createOrReplaceTempView("many")
+    got = retrieve.structured(spark, "q", "all", lambda t: "SELECT id FROM many ORDER BY id DESC", "db").orderBy("rank").collect()
+    assert [r.rank for r in got] == list(range(1, 1001)) and [r.unit_id for r in got[:2]] == ["row-0", "row-1"] and got[0].as_text == "[row] id: 999"
