@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts can be long, so batches are kept short.
 ARROW_ROWS = 512
+#: Folders that this process has written and not deleted.
+_written: list[str] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -48,10 +51,22 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``stash`` what ``make`` returns, and delete what was written to make it."""
+    before = len(_written)
+    out = stash(make(), label)
+    for path in _written[before:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _written[before:-1]
+    return out
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, with null taken as empty."""
     return F.coalesce(F.col(name), F.lit(""))

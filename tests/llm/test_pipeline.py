@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import corpus_pipeline as p
 from corvane.llm import queries
 
@@ -40,8 +42,11 @@ def test_odd_and_empty_tables(spark):
 
 
 def test_run(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
     rows = p.run(spark, DATA).collect()
     assert rows and all(r.n_tokens == len(r.ids) for r in rows)
+    assert len(set(shared.iterdir()) - before) == len(p.STAGES) - 1  # what the stages returned
 
 
 def test_registered():
