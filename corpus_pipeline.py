@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import quality as q
 from corvane.llm.byte_bpe import Codec, byte_bpe
-from corvane.llm.common import stash, table, tune, whole_text
+from corvane.llm.common import settle, stash, table, tune, whole_text
 from corvane.llm.mixing import mixed_texts
 from corvane.llm.ngram_join import ngram_join
 from corvane.llm.pii import find_pii, masked
@@ -98,8 +100,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``, each written and read again before the next;
+    what a stage wrote on its way is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name.split()[0].lower())
+        docs = settle(spark, partial(stage, spark, docs, sf_dir), name.split()[0].lower())
     return STAGES[-1][1](spark, docs, sf_dir)
