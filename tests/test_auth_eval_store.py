@@ -293,3 +293,29 @@ def test_database_store(spark, tmp_path):
     assert database.upsert_statement("t", "pgvector").startswith("INSERT INTO t (unit_id, source_doc_id, source_uri, text, metadata, vector) VALUES (%s, %s, %s, %s, %s::jsonb, %s::vector) ON CONFLICT (unit_id) DO UPDATE SET source_doc_id = excluded.source_doc_id")
     with pytest.raises(ValueError):
         database.DatabaseStore(spark, None, "t; drop", 2)
+
+
+def test_store_rewrites_what_it_touches(spark, tmp_path):
+    where = str(tmp_path / "kept")
+    make = lambda rows: spark.createDataFrame(rows, "unit_id string, source_doc_id string, text string")
+    kept = store.TableStore(spark, "bucketed", where)
+    kept.store(make([(f"u{i}", f"d{i}", "old") for i in range(200)]))
+    before = dict(kept.paths)
+    kept.replace_documents(make([("v0", "d7", "new"), ("v1", "d7", "new")]))
+    assert sum(kept.paths[b] != before[b] for b in before) == 1
+    kept.store(make([("u3", "d100", "moved")]))  # from another document's bucket
+    kept.delete_documents(["d5", "absent"])
+    rows = {r.unit_id: (r.source_doc_id, r.text) for r in kept.chunks().collect()}
+    assert len(rows) == 200 and rows["u3"] == ("d100", "moved") and rows["v1"] == ("d7", "new") and "u7" not in rows and "u5" not in rows
+    # of two that begin from the same version, one fails
+    other = store.TableStore(spark, "bucketed", where)
+    kept.delete(["u9"])
+    with pytest.raises(store.ConcurrentChange):
+        other.delete(["u10"])
+    kept.expire()
+    again = store.TableStore(spark, "bucketed", where)
+    assert again.number == kept.number and again.chunks().count() == 199
+    again.store(make([("w", "d1", "x")]).withColumn("lang", F.lit("en")))  # another column
+    assert {r.unit_id: r.lang for r in again.chunks().collect()}["u1"] is None and again.chunks().where("lang = 'en'").count() == 1
+    again.delete([r.unit_id for r in again.chunks().collect()])
+    assert again.chunks().collect() == [] and store.TableStore(spark, "bucketed", where).chunks().columns == ["unit_id", "source_doc_id", "text", "lang"]
