@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import hash_sample, stash, tune
 
@@ -237,7 +238,9 @@ def seen(docs: DataFrame, rows: bool = False) -> DataFrame:
 
     order = F.xxhash64(F.lit(10), F.col("doc_id").cast("long"), F.col("text"))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("order"), F.col("text").cast("binary").alias("text"), *[F.struct(*docs.columns).alias(n) for n in more])
-    whole = f"{SEEN}, row {read.schema['row'].dataType.simpleString()}" if rows else SEEN
+    whole = StructType.fromDDL(SEEN)
+    for n in more:
+        whole = whole.add(n, read.schema[n].dataType)
     return stash(read.mapInArrow(run, whole), "seen")
 
 

@@ -41,6 +41,12 @@ def test_odd_and_empty_tables(spark):
         p.STAGES[-1][1](spark, docs, "").collect()
 
 
+def test_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", "1 AS `a b`", "'x' AS `row`", "array(2) AS `c:d,e`")
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, docs, DATA).columns == docs.columns, name
+
+
 def test_run(spark):
     shared = Path(spark.conf.get("spark.checkpoint.dir"))
     before = set(shared.iterdir())
