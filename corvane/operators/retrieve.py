@@ -24,6 +24,8 @@ from ..sources.store import DEFAULT_TOP_K
 UNITS = ("query_id", "rank", "unit_type", "unit_id", "source_doc_id", "source_uri", "as_text", "score", "scores", "parent_id")
 #: Queries that one broadcast holds; more are taken in several rounds.
 QUERY_BLOCK = 4096
+#: Words of queries that a broadcast holds; more are joined by shuffles.
+ASKED_ROWS = 200_000
 #: Chunks that are multiplied with a block of queries at once.
 ROW_BLOCK = 1024
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -227,13 +229,18 @@ class Bm25Index:
 def bm25(index: Bm25Index, queries: DataFrame, filters: Sequence[MetadataFilter] = (), k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
     """The best chunks by BM25; a term that a query repeats counts again.
 
-    Only postings of the queries' terms are joined. Filters (and tenants, as for
+    Only postings of the queries' terms are joined; the queries' words are counted
+    first, and travel to the postings if they are few enough. Filters (and tenants, as for
     vectors) remove candidates and leave the statistics alone. Only positive
     scores stay.
     """
     asked = queries.select("query_id", F.explode(expr.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     postings, terms = index.of(asked.select("term").distinct())
-    found = postings.join(asked, "term").join(terms, "term")
+    if asked.count() <= ASKED_ROWS:
+        # postings by chunk meet all words of all queries where they are: what they make is summed without a shuffle
+        found = postings.repartition("unit_id").join(F.broadcast(asked.join(terms, "term")), "term")
+    else:
+        found = postings.join(asked, "term").join(terms, "term")
     rows = _prefer(index.chunks, filters, True)
     if filters or index.limited or ("tenant_id" in queries.columns and "tenant_id" in rows.columns):
         found = found.join(rows.select("unit_id", *(["tenant_id"] if "tenant_id" in rows.columns else [])), "unit_id")

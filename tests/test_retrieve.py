@@ -166,3 +166,12 @@ def test_rows_of_many_partitions_keep_their_order(spark):
     spark.range(0, 1000, 1, 7).createOrReplaceTempView("many")
     got = retrieve.structured(spark, "q", "all", lambda t: "SELECT id FROM many ORDER BY id DESC", "db").orderBy("rank").collect()
     assert [r.rank for r in got] == list(range(1, 1001)) and [r.unit_id for r in got[:2]] == ["row-0", "row-1"] and got[0].as_text == "[row] id: 999"
+
+
+def test_many_words_of_queries_are_joined_by_shuffles(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"c{i}", " ".join(f"w{(i * k) % 17}" for k in range(1, 9))) for i in range(60)], "unit_id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"w{i} w{i + 3} w{i}", 5) for i in range(12)], "query_id string, text string, top_k int")
+    told = lambda: sorted((r.query_id, r.rank, r.unit_id, r.score) for r in bm25(Bm25Index.build(docs), asked, digits=6).collect())
+    one = told()
+    monkeypatch.setattr(retrieve, "ASKED_ROWS", 0)
+    assert one and told() == one
