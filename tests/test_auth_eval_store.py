@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
+import os
 import sqlite3
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from corvane.functions.expr import MetadataFilter
 from corvane.operators import auth, chunk, embed, evaluate, retrieve
 from corvane.operators.auth import Allowlist, Mode, Noop, RoleBased
+from corvane.plans import session
 from corvane.plans.pipeline import Hook, Pipeline, log_hook
 from corvane.sources import database, documents, http, store
 from corvane.streaming import ingest
@@ -295,6 +299,39 @@ def test_database_store(spark, tmp_path):
         database.DatabaseStore(spark, None, "t; drop", 2)
 
 
+def test_database_deletes_by_index_and_reads_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(database, "PART", 100)
+    connect = functools.partial(sqlite3.connect, str(tmp_path / "a.db"), timeout=60)
+    kept = database.DatabaseStore(spark, connect, "main.notes", 2, "sqlite")
+    kept.ensure()
+    assert kept.chunks().collect() == []
+    make = lambda rows: spark.createDataFrame(rows, "unit_id string, source_doc_id string, text string, vector array<float>")
+    kept.store(make([(f"c{i % 750}", f"d{i % 750}", f"t{i}", [1.0, 2.0]) for i in range(1500)]))  # each id twice
+    with contextlib.closing(connect()) as c:
+        for column in ("unit_id", "source_doc_id"):
+            plan = c.execute("EXPLAIN QUERY PLAN " + database.delete_statement("main.notes", "sqlite", column), ("d1",)).fetchall()
+            assert "USING INDEX" in plan[0][3], plan  # and no scan
+    rows = kept.chunks()
+    assert rows.rdd.getNumPartitions() == 8
+    kept.delete_documents(["d0"])
+    kept.store(make([("late", "d9", "later than the plan", [0.0, 1.0])]))
+    got = {r.unit_id: r.text for r in rows.collect()}
+    assert len(got) == rows.count() == 750 and "c0" not in got and "late" in got
+    assert all(got[f"c{i}"] in (f"t{i}", f"t{i + 750}") for i in range(1, 750))
+    assert database.index_statement("s.notes", "pgvector") == "CREATE INDEX IF NOT EXISTS notes_source_doc_id ON s.notes (source_doc_id)"
+
+
+def test_files_of_a_database_are_where_executors_see_them(tmp_path):
+    make = lambda place, master="local-cluster[3,2,1024]": session.shared_folder(SimpleNamespace(conf={"spark.checkpoint.dir": place}, sparkContext=SimpleNamespace(master=master)))
+    for place in (str(tmp_path / "a b"), f"file://{tmp_path}/a%20b/"):
+        made = make(place)
+        assert made.startswith(f"{tmp_path}/a b/") and os.path.isdir(made)
+    assert os.path.isdir(make(None, "local[4]"))
+    for place in (None, "hdfs://far/shared"):  # nowhere that all see
+        with pytest.raises(ValueError):
+            make(place)
+
+
 def test_store_rewrites_what_it_touches(spark, tmp_path):
     where = str(tmp_path / "kept")
     make = lambda rows: spark.createDataFrame(rows, "unit_id string, source_doc_id string, text string")
